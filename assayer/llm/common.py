@@ -91,10 +91,10 @@ def hash128(prefix: str, value: Column) -> tuple[Column, Column]:
     return F.xxhash64(value).alias(f"{prefix}1"), F.xxhash64(F.lit(0x9E3779B9), value).alias(f"{prefix}2")
 
 
-def salted(df: DataFrame, keys: list[str], salts: int = 4) -> DataFrame:
-    """Replicate a table that is unique by ``keys`` over ``salts`` salts (column ``__salt``).
+def salted(df: DataFrame, salts: int = 4) -> DataFrame:
+    """Replicate a table that is unique by its join keys over ``salts`` salts (column ``__salt``).
 
-    Joining on keys and salt spreads a hot key, and makes the join's own exchange stand on
+    Joining on the keys and the salt spreads a hot key, and makes the join's own exchange stand on
     both sides, so that adaptive execution can split what is still skewed.
     """
     return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

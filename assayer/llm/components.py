@@ -10,7 +10,7 @@ from assayer.llm.common import materialize, salted, with_salt
 
 def _hang(pairs: DataFrame, least: DataFrame) -> DataFrame:
     """Rows (u, v) with u's least neighbour m; hubs are spread by salt and adaptive skew splitting."""
-    return with_salt(pairs, F.col("v")).join(salted(least, ["u"]), ["u", "__salt"]).drop("__salt")
+    return with_salt(pairs, F.col("v")).join(salted(least), ["u", "__salt"]).drop("__salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
