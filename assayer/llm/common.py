@@ -39,7 +39,7 @@ def work_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -107,21 +107,38 @@ def with_salt(df: DataFrame, by: Column, salts: int = 4) -> DataFrame:
 def bucket_rank(df: DataFrame, keys: list[str], order: list[str], total: int, out: str = "rank") -> DataFrame:
     """A gapless zero-based rank within each key, without gathering a key in one task.
 
-    ``df`` must be a written table. Each key is cut into buckets by a hash of the order columns,
-    rows are numbered within (key, bucket) and shifted by the rows of the key's earlier buckets.
-    The bucket count is global, chosen for about ``total / 2000`` rows a bucket, 64 to 50,000.
-    Only fully equal rows, which may swap places without changing a result, share a bucket by force.
+    ``df`` is read several times and must give the same rows each time. A key of more than ``per`` rows
+    (``total / 2000``, 64 to 50,000) is cut into buckets of about so many by a hash of the order columns;
+    rows are numbered within key and bucket and shifted by the rows of the key's earlier buckets.
+    Only rows equal in all order columns share a bucket by force.
     """
     per = max(64, min(50_000, total // 2000))
-    n = max(1, -(-total // per))
-    b = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    counts = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > per)
+    sizes = materialize(sizes.withColumn("__nb", F.ceil(F.col("__n") / per).cast("int")).drop("__n"), "hot-keys")
+    cut = _left_on(with_salt(df, F.struct(*order)), salted(sizes), [*keys, "__salt"]).drop("__salt")
+    cut = cut.withColumn("__b", F.coalesce(F.pmod(F.xxhash64(*order), F.col("__nb")), F.lit(0)).cast("int"))
+    counts = cut.filter("__nb is not null").groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = materialize(counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), "offsets")
-    within = b.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__b").orderBy(*order)))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__b"]]
-    joined = within.alias("l").join(offsets.alias("r"), on)
-    return joined.select("l.*", (F.col("r.__off") + F.col("l.__r") - 1).alias(out)).drop("__b", "__r")
+    offsets = materialize(counts.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c"), "offsets")
+    within = cut.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__b").orderBy(*order)))
+    joined = _left_on(within, offsets, [*keys, "__b"])
+    return joined.withColumn(out, F.coalesce("__off", F.lit(0)) + F.col("__r") - 1).drop("__nb", "__b", "__r", "__off")
+
+
+def _left_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on equal keys, nulls equal, with the right side's keys dropped."""
+    right = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return left.join(right, on, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def ordered_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """A gapless zero-based rank of all rows: range-partitioned, numbered by partition, shifted by exact counts."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__c").over(W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    rows = ranged.withColumn("__r", F.row_number().over(W.partitionBy("__pid").orderBy(*order)))
+    return rows.join(offsets, "__pid").withColumn(out, F.col("__off") + F.col("__r") - 1).drop("__pid", "__off", "__r")
 
 
 def local_path(uri: str):
