@@ -36,11 +36,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What comes out of a shuffle is written by two tasks a core, one after the other's partitions, so
+    that small tables don't become hundreds of files; ``spread`` keeps the partitions of scans and of
+    heavy stages as they are.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    (df if spread else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -37,7 +37,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .filter(F.char_length("__line") >= min_chars)
         .select("__id", "__d1", "__d2", "__pos", *hash128("__h", F.col("__line")))
     )
-    lines = materialize(lines, "lines")
+    lines = materialize(lines, "lines", spread=True)
     # The null id sorts first: compare (is not null, id).
     order = F.struct(F.col("__id").isNotNull().alias("known"), F.col("__id").alias("id"))
     if min_docs <= 2:

@@ -169,7 +169,7 @@ def media_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                 yield {"doc_id": part.column(0), "n_bytes": [len(t) for t in texts], "media": media}
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(map_arrow(rows, run, "doc_id long, n_bytes long, media binary"), "media")
+    return materialize(map_arrow(rows, run, "doc_id long, n_bytes long, media binary"), "media", spread=True)
 
 
 def media_features(stored: DataFrame, side: int = 16) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.llm.common import bucket_rank, materialize, ordered_rank, salted, with_salt
@@ -137,15 +138,26 @@ def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col:
     return spread.join(table, on).select(*[f"`{c}`" for c in names], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
-def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as it has copies, without the columns that :func:`mix_sources` adds."""
-    repeat = mixed.filter("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeat.drop("__i", "copies", "size", "source_size", "target")
+def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """The mix itself: every row of ``df``, unchanged, as often as it has copies (0 to ``cap``).
+
+    The copies are decided on ids, sources and sizes alone; whole rows are shuffled once, to meet their
+    copies. Rows equal in id and text pool their copies, and the first of them stands for all.
+    """
+    key = [F.col(id_col).alias("__id"), F.xxhash64(F.lit(5), F.col(text_col)).alias("__h")]
+    narrow = materialize(df.select(*key, F.col(source_col).alias("__from"), word_count(F.col(text_col)).alias("__words")), "words", spread=True)
+    mixed = mix_sources(narrow, F.col("__words"), "__id", "__from", weights, cap)
+    copies = mixed.groupBy("__id", "__h").agg(F.sum("copies").alias("__n")).filter("__n > 0").withColumnsRenamed({"__id": "__k", "__h": "__g"})
+    rows = df.withColumns(dict(zip(("__id", "__h"), key)))
+    joined = rows.join(copies, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")))
+    first = joined.withColumn("__r", F.row_number().over(W.partitionBy("__k", "__g").orderBy("__h"))).filter("__r = 1")
+    repeated = first.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
+    return repeated.select(*[f"`{c}`" for c in df.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3 by code point."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "words")
+    words = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "words", spread=True)
     out = mix_sources(words, F.col("size"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

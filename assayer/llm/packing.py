@@ -207,4 +207,4 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(materialize(pieces, "pieces"))
+    return pack(materialize(pieces, "pieces", spread=True))

@@ -111,6 +111,7 @@ def histogram_shards(
     keyed = materialize(
         df.select(*payload, F.coalesce(size, F.lit(0)).cast("long").alias("__bytes"), keys[0].alias("__k1"), keys[1].alias("__k2"), F.monotonically_increasing_id().alias("__k3")).select(*named, "__bytes", "__k1", "__k2", "__k3"),
         "keyed",
+        spread=True,
     )
     total, rows = keyed.agg(F.coalesce(F.sum("__bytes"), F.lit(0)), F.count(F.lit(1))).first()
     keyed = keyed.withColumn("__key", F.concat(_digits(F.col("__k1")), _digits(F.col("__k2")), _digits(F.col("__k3"))))

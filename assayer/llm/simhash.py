@@ -92,7 +92,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     One row per row of ``df``. Equal fingerprints are one node, so copies cost no pairs. Null ids
     keep their rows and are ignored as smallest id (a component of null ids only has a null id).
     """
-    prints = materialize(fingerprints(df, id_col, text_col, width), "prints")
+    prints = materialize(fingerprints(df, id_col, text_col, width), "prints", spread=True)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = link_fingerprints(nodes.select("fp"), max_bits)
     parts = connected_components(edges)
