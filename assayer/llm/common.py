@@ -45,10 +45,15 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    (df if spread else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    (df if spread else few_files(df)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """Two tasks a core at most, each taking several partitions one after the other; for what comes out of a shuffle."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small driver-side table as a DataFrame without Python or RDD code: rows travel as one JSON literal."""
     import json

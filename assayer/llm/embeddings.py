@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import hash128, map_arrow, materialize, salted, with_salt
+from assayer.llm.common import few_files, hash128, map_arrow, materialize, salted, with_salt
 from assayer.llm.components import connected_components
 
 #: Rows of a tile; a task compares two tiles at most.
@@ -204,4 +204,4 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """All embeddings linked at cosine 0.93 within a label."""
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return few_files(near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))

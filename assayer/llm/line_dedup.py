@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import WHITE, ascii_lower, hash128, materialize, salted, with_salt
+from assayer.llm.common import WHITE, ascii_lower, few_files, hash128, materialize, salted, with_salt
 
 
 def line_key(line: Column) -> Column:
@@ -65,7 +65,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of at least 10 code points that two documents hold stay only in the smaller doc_id."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return few_files(out).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bucket_rank, materialize, ordered_rank, salted, with_salt
+from assayer.llm.common import bucket_rank, few_files, materialize, ordered_rank, salted, with_salt
 
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -160,4 +160,4 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     words = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "words", spread=True)
     out = mix_sources(words, F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return few_files(out).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bucket_rank, map_arrow, materialize, slices
+from assayer.llm.common import bucket_rank, few_files, map_arrow, materialize, slices
 
 #: The id that ends a document.
 END = 2
@@ -207,4 +207,4 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(materialize(pieces, "pieces", spread=True))
+    return few_files(pack(materialize(pieces, "pieces", spread=True)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.common import literal_table, materialize
+from assayer.llm.common import few_files, literal_table, materialize
 
 #: Digits of the first round and of each later round, and of the whole key (three 64-bit parts).
 FIRST, STEP, WIDTH = 3, 2, 48
@@ -156,4 +156,4 @@ def op1_histogram_shards(spark, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     payload = [F.col("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")]
     out = histogram_shards(docs, 24, size, (F.xxhash64(text), F.col("doc_id").cast("long")), payload)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return few_files(out).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

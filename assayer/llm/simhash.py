@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import UPPER, map_arrow, materialize, salted, slices, with_salt
+from assayer.llm.common import UPPER, few_files, map_arrow, materialize, salted, slices, with_salt
 from assayer.llm.components import connected_components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -107,4 +107,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles over all documents, linked at 2 or fewer differing bits."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return few_files(out).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -8,6 +8,7 @@ Reading: index rows are chosen first, sorted by archive and offset, and read as
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import posixpath
 import uuid
@@ -15,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import local_path, map_arrow, materialize, salted, slices, with_salt, work_path
+from assayer.llm.common import few_files, local_path, map_arrow, materialize, salted, slices, with_salt, work_path
 
 INDEX = "page_id long, url string, archive string, offset long, length long, digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, digest string, payload binary"
@@ -85,9 +86,10 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": int(page) if page else None, "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": int(to) if to else None, "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload": rest[:n]}
 
 
-def write_archives(marked: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", roll_bytes: int = 256 << 20) -> DataFrame:
+def write_archives(marked: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", roll_bytes: int = 256 << 20, compress: bool = True) -> DataFrame:
     """Write every row of :func:`mark_revisits` as a record; returns the written index.
 
+    With ``compress`` each record is a gzip member of its own, as ``.warc.gz`` has it, so a byte range still holds whole records.
     Archives end once they exceed ``roll_bytes``. Tasks without rows write nothing.
     """
 
@@ -105,9 +107,11 @@ def write_archives(marked: DataFrame, folder: str, date: str = "2000-01-01T00:00
                             else:
                                 fs, base = local_path(folder)
                                 fs.create_dir(base, recursive=True)
-                            name, at = f"pages-{uuid.uuid4().hex}.warc", 0
-                            out = fs.open_output_stream(posixpath.join(base, name))
+                            name, at = f"pages-{uuid.uuid4().hex}.warc{'.gz' * compress}", 0
+                            out = fs.open_output_stream(posixpath.join(base, name), compression=None)
                         data = record_bytes(row, date)
+                        if compress:
+                            data = gzip.compress(data, 1, mtime=0)
                         out.write(data)
                         index.append(row | {"archive": name, "offset": at, "length": len(data)})
                         at += len(data)
@@ -142,7 +146,8 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int =
                     name, file = first["archive"], fs.open_input_file(posixpath.join(base, first["archive"]))
                 file.seek(first["offset"])
                 data = file.read(end - first["offset"])
-                found = [parse_record(data[r["offset"] - first["offset"] : r["offset"] - first["offset"] + r["length"]]) for r in rows[at:last]]
+                cuts = [data[r["offset"] - first["offset"] : r["offset"] - first["offset"] + r["length"]] for r in rows[at:last]]
+                found = [parse_record(gzip.decompress(c) if name.endswith(".gz") else c) for c in cuts]
                 yield {c.split()[0]: [r[c.split()[0]] for r in found] for c in RECORDS.split(", ")}
                 at = last
 
@@ -168,7 +173,7 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     joined = with_salt(rows.filter("record_type = 'revisit'"), F.col("page_id")).join(salted(bodies), ["refers_to", "digest", "__salt"], "left")
     revisits = joined.select("page_id", F.col("__n").alias("payload_bytes"), F.when(F.col("__n").isNotNull(), F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
     responses = rows.filter("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
-    return responses.unionByName(revisits)
+    return few_files(responses.unionByName(revisits))
 
 
 OP5_SQL = """
