@@ -25,14 +25,17 @@ MIX = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: at most so many labelled documents are trained on, those of least hash of their id."""
+    """``sample``: at most so many labelled documents are trained on, those of least hash of their id.
+
+    ``steps``: so many documents are shown in training, in whole passes over the sample.
+    """
 
     sample: int = 3000
     buckets: int = 1 << 18
-    dim: int = 8
+    dim: int = 16
     min_gram: int = 3
     max_gram: int = 4
-    epochs: int = 6
+    steps: int = 18_000
     rate: float = 0.6
     seed: int = 7
 
@@ -83,9 +86,9 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
     rng = np.random.default_rng(settings.seed)
     vectors = rng.uniform(-1 / settings.dim, 1 / settings.dim, (settings.buckets, settings.dim)).astype(np.float32)
     out = np.zeros((settings.dim, 2), np.float32)
-    steps = max(1, settings.epochs * len(docs))
-    done = 0
-    for _ in range(settings.epochs):
+    passes = -(-settings.steps // len(docs)) if docs else 0
+    steps, done = passes * len(docs), 0
+    for _ in range(passes):
         for i in rng.permutation(len(docs)):
             rate = settings.rate * (1 - done / steps)
             done += 1

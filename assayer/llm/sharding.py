@@ -119,7 +119,7 @@ def histogram_shards(
     n_parts = n_shards * per_shard
     targets = [total * i // n_parts for i in range(1, n_parts)]
     cuts = find_splitters(keyed, targets, total, int(total * tolerance / n_shards)) if rows else []
-    first_row = [0, *(c[2] for c in cuts)]
+    first_row = [0, *(c[2] for c in cuts)] if rows else [0] * n_parts
 
     # A row's part is the number of cuts at or below its key. A table of the first digits gives the cuts
     # below the digits' range and lists those inside it: 4,096 rows, and all cuts once.
