@@ -20,12 +20,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.functions.values import quoted
+from assayer.operators.addresses import DEFAULT_FIELDS
 from assayer.operators.base import Metric, Rejected
 from assayer.plans.documents import Case, check_plan, load_case, load_ranks, order_metrics, plan_tree, result_tree, results_tree, tree_lines
 from assayer.plans.progress import overall_line, status_tree
 from assayer.plans.registry import build_metric
 from assayer.sources.pcap import read_pcap
-from assayer.sources.tabular import SEPARATORS, SHEETS, read_tabular, suffix
+from assayer.sources.tabular import ROW_INDEX, read_tabular, suffix
 
 #: Counters of one aggregation; more would outgrow the size of generated code.
 BATCH = 100
@@ -86,6 +88,23 @@ def load_dataset(spark: SparkSession, path: str | Path, row_index: bool = True)
     return read_tabular(spark, str(path), row_index)
 
 
+def _texts(value: object) -> set[str]:
+    """All texts anywhere in a document."""
+    if isinstance(value, str):
+        return {value}
+    parts = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return set().union(*map(_texts, parts))
+
+
+def needed_columns(df: DataFrame, metrics: list[dict]) -> DataFrame:
+    """``df`` with the columns that the metrics could name, so that scans and caches hold no others."""
+    if "packet_index" in df.columns:
+        return df
+    named = _texts(metrics) | {ROW_INDEX, *DEFAULT_FIELDS}
+    kept = [c for c in df.columns if c in named]
+    return df.select(*[quoted(c) for c in kept]) if kept else df
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -116,7 +135,9 @@ def run_metrics(spark: SparkSession, df: DataFrame | None, metrics: list[dict],
     took = {i: 0.0 for i in range(len(metrics))}
     results: dict[int, dict] = {}
     if order and df is not None:
-        cached = df.persist() if len(order) > 1 else df
+        cached = needed_columns(df, metrics)
+        if len(order) > 1:
+            cached = cached.persist()
         try:
             spark.sparkContext.setJobGroup(group, "metric counters", True)
             try:

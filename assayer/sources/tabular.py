@@ -39,11 +39,11 @@ def distinct_names(cells: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",", row_index: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, separator: str = ",", row_index: bool = False, multi_line: bool = False) -> DataFrame:
     """A delimited text file with a header line: quoted cells, blanks after separators skipped, NA texts as NULL.
 
     Rows with too few cells end in NULLs; surplus cells are dropped. With ``row_index`` the rows are
-    numbered in file order.
+    numbered in file order. ``multi_line`` allows newlines in quoted cells, at the price of one task a file.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
@@ -52,7 +52,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", row_ind
     names = distinct_names(header)
     plain = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
     reader = spark.read.schema(plain).option("sep", separator).option("header", True).option("enforceSchema", True)
-    df = reader.option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").csv(path)
+    df = reader.option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("multiLine", multi_line).csv(path)
     cells = [na_to_null(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)]
     if not row_index:
         return df.select(*cells)
