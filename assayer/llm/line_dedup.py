@@ -13,14 +13,14 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """Drop lines whose key stands in at least ``min_docs`` documents, except in the smallest of them.
 
     Keys of fewer than ``min_chars`` code points are never dropped. A document is its id: rows of one
     id are one document for the counts, and a null id is a document that sorts before all others.
 
     :returns: all columns of ``df`` with the text replaced by the kept lines joined by newlines, and
-        ``n_lines`` and ``n_dropped`` longs (columns of those names are replaced). Null text counts as
+        two longs ``counts``, its lines before and the dropped ones (columns of those names are replaced). Null text counts as
         one empty line and becomes the empty string. An empty table gives no rows.
 
     Only hashes travel: 128-bit line hashes with the id and position. Counts combine map-side, so a
@@ -30,7 +30,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rid = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col), F.lit(""))
     row_key = hash128("__d", F.struct(rid, text))
-    docs = df.drop("n_lines", "n_dropped")
+    docs = df.drop(*counts)
     exploded = docs.select(rid.alias("__id"), *row_key, F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line"))
     lines = (
         exploded.withColumn("__line", line_key("__line"))
@@ -57,8 +57,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rebuilt = F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(left, "\n"))
     return kept.select(
         *[rebuilt.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(parts).cast("long").alias(counts[0]),
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 

@@ -27,10 +27,12 @@ MIX = 0x9E3779B97F4A7C15
 class Settings:
     """``sample``: at most so many labelled documents are trained on, those of least hash of their id.
 
+    ``sample_bytes``: longer texts are not trained on, which bounds what reaches the driver; they are scored whole.
     ``steps``: so many documents are shown in training, in whole passes over the sample.
     """
 
     sample: int = 3000
+    sample_bytes: int = 1 << 18
     buckets: int = 1 << 18
     dim: int = 16
     min_gram: int = 3
@@ -123,26 +125,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    found = found.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= settings.sample_bytes)
     rows = sorted((r["doc_id"], r["text"] or "", r["quality"]) for r in found.limit(2 * settings.sample).collect())
     return [(t, q) for _, t, q in rows]
 
 
-def quality_scores(df: DataFrame, weights: np.ndarray, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
-    """All rows of ``df`` with ``score`` (0 to 1); a column of that name is replaced.
+def quality_scores(df: DataFrame, weights: np.ndarray, settings: Settings = Settings(), text_col: str = "text", out: str = "score") -> DataFrame:
+    """All rows of ``df`` with a double ``out`` (0 to 1); a column of that name is replaced.
 
     Whole texts are scored; null text counts as empty. Empty texts have the score of the document's end alone.
     """
-    df = df.drop("score")
+    df = df.drop(out)
     at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, at):
-                yield {c: part.column(i) for i, c in enumerate(df_columns)} | {"score": [score(t or "", weights, settings) for t in part.column(at).to_pylist()]}
+                yield {c: part.column(i) for i, c in enumerate(df_columns)} | {out: [score(t or "", weights, settings) for t in part.column(at).to_pylist()]}
 
     df_columns = df.columns
     ddl = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return map_arrow(df, run, f"{ddl}, score double")
+    return map_arrow(df, run, f"{ddl}, `{out}` double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:

@@ -122,6 +122,26 @@ def test_pipeline(spark, tables):
     assert rows_of(corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32")) == rows_of(kept["packing"].select("doc_id", "piece", "length", "ids_crc32"))
 
 
+@pytest.mark.parametrize("count", [0, 40])
+def test_stages_on_odd_documents(spark, count):
+    """Null columns, repeated rows and ids, empty and long texts, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    texts = [None, "", "a", "same line of text here\nother", "x" * 20_000, "Same Line of text here", " \n\t", "word " * 3000]
+    rows = [(None if i % 9 == 0 else i // 2, texts[i % len(texts)], None, None if i % 5 == 0 else f"s{i % 3}", None, i, "x") for i in range(count)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, score string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/odd-{count}-{name.replace(' ', '-')}"
+        out.write.mode("overwrite").parquet(path)
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = spark.read.schema(docs.schema).parquet(path)
+        else:
+            packed = spark.read.schema(out.schema).parquet(path).collect()
+            assert len(packed) >= docs.count() and (count or not packed)
+
+
 def test_library_stands_without_this_subpackage(monkeypatch):
     import importlib
 
