@@ -1,7 +1,7 @@
 """IP address classes as Column expressions.
 
-IPv4 stays in the JVM: a strict pattern, then integer ranges. Only cells that aren't IPv4 but look
-like IPv6 reach Python, as Arrow batches.
+Both stay in the JVM: IPv4 by a strict pattern and integer ranges, IPv6 as 32 hexadecimal digits and
+ranges of those.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import ipaddress
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,60 +56,57 @@ def ipv4_number(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.get(parts, i).try_cast("long") * 256 ** (3 - i) for i in range(4)])
 
 
-def _v6_candidate(text: Column) -> Column:
-    """Whether text could be IPv6: at least two colons and none but its characters (or a scope)."""
-    return text.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(%.*)?$")
-
-
-def parse_ipv6(text: str) -> ipaddress.IPv6Address | None:
-    try:
-        out = ipaddress.ip_address(text)
-    except ValueError:
-        return None
-    return out if out.version == 6 else None
+def ipv6_digits(text: Column) -> Column:
+    """The 32 lower-case hexadecimal digits of an IPv6 address, NULL for what is none; digits sort as addresses do.
 
+    A scope behind ``%`` is cut off, an IPv4 tail becomes two groups, ``::`` stands for one group at least.
+    """
+    plain = F.regexp_replace(text, "%[^%/]+$", "")
+    tail = F.regexp_extract(plain, rf":(({_OCTET}\.){{3}}{_OCTET})$", 1)
+    four = F.when(tail != "", F.lower(F.lpad(F.hex(ipv4_number(tail)), 8, "0")))
+    head = F.when(four.isNull(), plain).otherwise(F.concat(F.substring(plain, F.lit(1), F.length(plain) - F.length(tail)), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4)))
+    shape = head.rlike(r"^(?!:[^:])(?!.*::.*::)(?!.*:::)[0-9A-Fa-f]{0,4}(::?[0-9A-Fa-f]{1,4})*(::)?$") & head.contains(":")
+    sides = F.split(head, "::", -1)
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    n = F.size(left) + F.size(right)
+    fits = F.when(head.contains("::"), n <= 7).otherwise((n == 8) & ~head.startswith(":"))
+    padded = lambda side: F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(holds(shape) & holds(fits), F.lower(F.concat(padded(left), F.repeat(F.lit("0000"), 8 - n), padded(right))))
 
-_V6 = {c: [ipaddress.ip_network(b) for b in blocks] for c, blocks in IPV6_BLOCKS.items()}
-_V6_NOT = {c: [ipaddress.ip_network(b) for b in blocks] for c, blocks in IPV6_EXCEPTIONS.items()}
-_V4 = {c: [ipaddress.ip_network(b) for b in blocks] for c, blocks in IPV4_BLOCKS.items()}
-_V4_NOT = {c: [ipaddress.ip_network(b) for b in blocks] for c, blocks in IPV4_EXCEPTIONS.items()}
 
+def _hex_range(net) -> tuple[str, str]:
+    return f"{int(net[0]):032x}", f"{int(net[-1]):032x}"
 
-def ipv6_categories(address: ipaddress.IPv6Address) -> list[str]:
-    """Categories of an IPv6 address; of a mapped IPv4 address, private and loopback are those of the embedded one."""
-    plain = ipaddress.IPv6Address(int(address))
-    found = [c for c in CATEGORIES if any(plain in n for n in _V6[c]) and not any(plain in n for n in _V6_NOT.get(c, ()))]
-    inner = plain.ipv4_mapped
-    if inner is not None:
-        found = [c for c in found if c not in ("private", "loopback")]
-        found += [c for c in ("private", "loopback") if any(inner in n for n in _V4[c]) and not any(inner in n for n in _V4_NOT.get(c, ()))]
-    return [c for c in CATEGORIES if c in found]
 
+def _digits_within(digits: Column, blocks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [digits.between(*_hex_range(ipaddress.ip_network(b))) for b in blocks], F.lit(False))
 
-def _ipv6_lists(texts: pd.Series) -> pd.Series:
-    """Categories of each IPv6 text, empty if none; None for what is no IPv6 address."""
 
-    def one(text):
-        address = parse_ipv6(text)
-        return None if address is None else ipv6_categories(address)
+def ipv6_category(digits: Column, category: str) -> Column:
+    """Whether an address is in a category; a mapped IPv4 address is private or loopback as the embedded one is."""
+    inside = _digits_within(digits, IPV6_BLOCKS[category])
+    if category in IPV6_EXCEPTIONS:
+        inside = inside & ~_digits_within(digits, IPV6_EXCEPTIONS[category])
+    if category not in ("private", "loopback"):
+        return inside
+    embedded = F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")
+    return F.when(_digits_within(digits, IPV6_BLOCKS["ipv4_mapped"]), ipv4_category(embedded, category)).otherwise(inside)
 
-    known = {t: one(t) for t in texts.dropna().unique()}
-    return texts.map(lambda t: known.get(t))
 
+def ipv6_categories(digits: Column) -> Column:
+    """The categories of an IPv6 address, in their fixed order."""
+    return F.array_compact(F.array(*[F.when(ipv6_category(digits, c), c) for c in CATEGORIES if IPV6_BLOCKS[c]]))
 
-def with_address(df, name: str, cell: Column, ipv6: bool = True):
-    """``df`` with struct ``name``: class (missing, ipv4, ipv6, invalid), version and categories of a cell.
 
-    ``ipv6`` False leaves Python out, for cells known to hold no IPv6.
-    """
+def with_address(df, name: str, cell: Column):
+    """``df`` with struct ``name``: class (missing, ipv4, ipv6, invalid), text, version and categories of a cell."""
     text, number, six = f"__{name}_text", f"__{name}_number", f"__{name}_six"
     df = df.withColumn(text, strip(cell))
-    four = holds(F.col(text).rlike(IPV4_PATTERN))
-    df = df.withColumn(number, F.when(four, ipv4_number(F.col(text))))
-    six_value = F.pandas_udf(_ipv6_lists, "array<string>")(F.when(~four & holds(_v6_candidate(F.col(text))), F.col(text))) if ipv6 else F.lit(None).cast("array<string>")
-    df = df.withColumn(six, six_value)
+    df = df.withColumn(number, F.when(holds(F.col(text).rlike(IPV4_PATTERN)), ipv4_number(F.col(text))))
+    df = df.withColumn(six, F.when(F.col(text).contains(":"), ipv6_digits(F.col(text))))
     kind = F.when(F.col(text).isNull() | (F.col(text) == ""), "missing").when(F.col(number).isNotNull(), "ipv4").when(F.col(six).isNotNull(), "ipv6").otherwise("invalid")
-    categories = F.when(F.col(number).isNotNull(), ipv4_categories(F.col(number))).otherwise(F.col(six))
+    categories = F.when(F.col(number).isNotNull(), ipv4_categories(F.col(number))).when(F.col(six).isNotNull(), ipv6_categories(F.col(six)))
     out = F.struct(kind.alias("class"), F.col(text).alias("text"), F.when(kind == "ipv4", 4).when(kind == "ipv6", 6).alias("version"), categories.alias("categories"))
     return df.withColumn(name, out).drop(text, number, six)
 

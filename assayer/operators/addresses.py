@@ -55,7 +55,7 @@ def protocol_validity(df: DataFrame, spec: dict, src: str = "src", dst: str = "d
     return Metric(spec["metric_id"], counters, finish, derive)
 
 
-def reserved_addresses(df: DataFrame, spec: dict, ipv6: bool = True) -> Metric:
+def reserved_addresses(df: DataFrame, spec: dict) -> Metric:
     """Missing cells count as checked. A row is reserved if any of its addresses is."""
     wanted = requirements(spec).get("candidate_fields") or list(DEFAULT_FIELDS)
     fields = [f for f in wanted if f in df.columns]
@@ -65,7 +65,7 @@ def reserved_addresses(df: DataFrame, spec: dict, ipv6: bool = True) -> Metric:
 
     def derive(d):
         for name, f in zip(names, fields):
-            d = with_address(d, name, quoted(f), ipv6)
+            d = with_address(d, name, quoted(f))
         return d
 
     kind = [F.col(f"{n}.class") for n in names]

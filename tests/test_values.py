@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.addresses import classify_address, ipv6_categories, parse_ipv6, with_address
+from assayer.functions.addresses import classify_address, ipv6_digits, with_address
 from assayer.functions.values import canonical_code, fold_identifier, fold_numeric, identifier, na_to_null, number, numeric_equivalent, port_class, port_status, port_value
 
 
@@ -67,11 +67,38 @@ def test_addresses(spark):
     for a, (kind, _) in ADDRESSES.items():
         assert classify_address(a) == kind
     assert classify_address(None) == "missing"
-    assert parse_ipv6("8.8.8.8") is None and ipv6_categories(parse_ipv6("::ffff:127.0.0.1")) == ["private", "loopback", "reserved", "ipv4_mapped"]
+
+
+def test_ipv6_agrees_with_a_parser(spark):
+    """Texts put together from pieces of addresses, right and wrong, against the standard library."""
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    pieces = ["0", "1", "ff", "abcd", "12345", "g", ":", "::", ":", "::", "1.2.3.4", "256.1.1.1", "%eth0", "%", "/64", "fe80", "A"]
+    texts = {"".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(3000)}
+    for _ in range(3000):
+        groups = [f"{rng.getrandbits(rng.choice([1, 8, 16])):x}" for _ in range(rng.randint(6, 9))]
+        at = rng.randint(0, len(groups))
+        texts.add(":".join(groups))
+        texts.add(":".join(groups[:at]) + "::" + ":".join(groups[at + rng.randint(0, 3) :]))
+        texts.add(":".join(groups[:6]) + ":1.2.3.4")
+        texts.add("::" + ":".join(groups[: rng.randint(0, 5)]) + ":8.8.4.4")
+
+    def want(t):
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            return None
+        return f"{int(ipaddress.IPv6Address(int(a))):032x}" if a.version == 6 else None
+
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "v string")
+    wrong = [(r["v"], r["d"], want(r["v"])) for r in df.select("v", ipv6_digits(F.col("v")).alias("d")).collect() if r["d"] != want(r["v"])]
+    assert not wrong, wrong[:10]
 
 
 def test_addresses_without_python(spark):
     df = spark.createDataFrame([("8.8.8.8",), ("::1",)], "v string")
-    plan = with_address(df, "a", F.col("v"), ipv6=False)
-    assert [r["a"]["class"] for r in plan.collect()] == ["ipv4", "invalid"]
+    plan = with_address(df, "a", F.col("v"))
+    assert [r["a"]["class"] for r in plan.collect()] == ["ipv4", "ipv6"]
     assert "ArrowEvalPython" not in plan._jdf.queryExecution().toString()
