@@ -9,7 +9,7 @@ from __future__ import annotations
 import ipaddress
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.values import holds, strip
@@ -56,23 +56,32 @@ def ipv4_number(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.get(parts, i).try_cast("long") * 256 ** (3 - i) for i in range(4)])
 
 
-def ipv6_digits(text: Column) -> Column:
-    """The 32 lower-case hexadecimal digits of an IPv6 address, NULL for what is none; digits sort as addresses do.
+def with_ipv6_digits(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """For each name, the 32 lower-case hexadecimal digits of a cell's IPv6 address; NULL for what is none.
 
-    A scope behind ``%`` is cut off, an IPv4 tail becomes two groups, ``::`` stands for one group at least.
+    Digits sort as addresses do. A scope behind ``%`` is cut off, an IPv4 tail becomes two groups, ``::``
+    stands for one group at least. Each step is a column of its own, so that no expression repeats the
+    ones below it.
     """
-    plain = F.regexp_replace(text, "%[^%/]+$", "")
-    tail = F.regexp_extract(plain, rf":(({_OCTET}\.){{3}}{_OCTET})$", 1)
-    four = F.when(tail != "", F.lower(F.lpad(F.hex(ipv4_number(tail)), 8, "0")))
-    head = F.when(four.isNull(), plain).otherwise(F.concat(F.substring(plain, F.lit(1), F.length(plain) - F.length(tail)), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4)))
-    shape = head.rlike(r"^(?!:[^:])(?!.*::.*::)(?!.*:::)[0-9A-Fa-f]{0,4}(::?[0-9A-Fa-f]{1,4})*(::)?$") & head.contains(":")
-    sides = F.split(head, "::", -1)
+    t = {n: {k: f"__{n}_{k}" for k in ("plain", "tail", "four", "head", "left", "right")} for n in cells}
+    df = df.withColumns({t[n]["plain"]: F.when(v.contains(":"), F.regexp_replace(v, "%[^%/]+$", "")) for n, v in cells.items()})
+    df = df.withColumns({x["tail"]: F.regexp_extract(x["plain"], rf":(({_OCTET}\.){{3}}{_OCTET})$", 1) for x in t.values()})
+    df = df.withColumns({x["four"]: F.when(F.col(x["tail"]) != "", F.lower(F.lpad(F.hex(ipv4_number(F.col(x["tail"]))), 8, "0"))) for x in t.values()})
+    merged = lambda x: F.concat(F.substring(x["plain"], F.lit(1), F.length(x["plain"]) - F.length(x["tail"])), F.substring(x["four"], 1, 4), F.lit(":"), F.substring(x["four"], 5, 4))
+    df = df.withColumns({x["head"]: F.when(F.col(x["four"]).isNull(), F.col(x["plain"])).otherwise(merged(x)) for x in t.values()})
     groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
-    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-    n = F.size(left) + F.size(right)
-    fits = F.when(head.contains("::"), n <= 7).otherwise((n == 8) & ~head.startswith(":"))
-    padded = lambda side: F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(holds(shape) & holds(fits), F.lower(F.concat(padded(left), F.repeat(F.lit("0000"), 8 - n), padded(right))))
+    side = lambda x, i: groups(F.coalesce(F.get(F.split(F.col(x["head"]), "::", -1), F.lit(i)), F.lit("")))
+    df = df.withColumns({x[k]: side(x, i) for x in t.values() for i, k in enumerate(("left", "right"))})
+
+    def digits(x):
+        head = F.col(x["head"])
+        n = F.size(x["left"]) + F.size(x["right"])
+        shape = head.rlike(r"^(?!:[^:])(?!.*::.*::)(?!.*:::)[0-9A-Fa-f]{0,4}(::?[0-9A-Fa-f]{1,4})*(::)?$")
+        fits = F.when(head.contains("::"), n <= 7).otherwise(n == 8)
+        padded = lambda c: F.array_join(F.transform(c, lambda g: F.lpad(g, 4, "0")), "")
+        return F.when(holds(shape) & holds(fits), F.lower(F.concat(padded(x["left"]), F.repeat(F.lit("0000"), 8 - n), padded(x["right"]))))
+
+    return df.withColumns({n: digits(x) for n, x in t.items()}).drop(*[c for x in t.values() for c in x.values()])
 
 
 def _hex_range(net) -> tuple[str, str]:
@@ -99,16 +108,20 @@ def ipv6_categories(digits: Column) -> Column:
     return F.array_compact(F.array(*[F.when(ipv6_category(digits, c), c) for c in CATEGORIES if IPV6_BLOCKS[c]]))
 
 
-def with_address(df, name: str, cell: Column):
-    """``df`` with struct ``name``: class (missing, ipv4, ipv6, invalid), text, version and categories of a cell."""
-    text, number, six = f"__{name}_text", f"__{name}_number", f"__{name}_six"
-    df = df.withColumn(text, strip(cell))
-    df = df.withColumn(number, F.when(holds(F.col(text).rlike(IPV4_PATTERN)), ipv4_number(F.col(text))))
-    df = df.withColumn(six, F.when(F.col(text).contains(":"), ipv6_digits(F.col(text))))
-    kind = F.when(F.col(text).isNull() | (F.col(text) == ""), "missing").when(F.col(number).isNotNull(), "ipv4").when(F.col(six).isNotNull(), "ipv6").otherwise("invalid")
-    categories = F.when(F.col(number).isNotNull(), ipv4_categories(F.col(number))).when(F.col(six).isNotNull(), ipv6_categories(F.col(six)))
-    out = F.struct(kind.alias("class"), F.col(text).alias("text"), F.when(kind == "ipv4", 4).when(kind == "ipv6", 6).alias("version"), categories.alias("categories"))
-    return df.withColumn(name, out).drop(text, number, six)
+def with_addresses(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """``df`` with a struct for each name: class (missing, ipv4, ipv6, invalid), text, version and categories of a cell."""
+    names = {n: (f"__{n}_text", f"__{n}_number", f"__{n}_six") for n in cells}
+    df = df.withColumns({names[n][0]: strip(v) for n, v in cells.items()})
+    df = df.withColumns({number: F.when(holds(F.col(text).rlike(IPV4_PATTERN)), ipv4_number(F.col(text))) for text, number, _ in names.values()})
+    df = with_ipv6_digits(df, {six: F.col(text) for text, _, six in names.values()})
+
+    def struct(text, number, six):
+        kind = F.when(F.col(text).isNull() | (F.col(text) == ""), "missing").when(F.col(number).isNotNull(), "ipv4").when(F.col(six).isNotNull(), "ipv6").otherwise("invalid")
+        version = F.when(F.col(number).isNotNull(), 4).when(F.col(six).isNotNull(), 6)
+        categories = F.when(F.col(number).isNotNull(), ipv4_categories(F.col(number))).when(F.col(six).isNotNull(), ipv6_categories(F.col(six)))
+        return F.struct(kind.alias("class"), F.col(text).alias("text"), version.alias("version"), categories.alias("categories"))
+
+    return df.withColumns({n: struct(*names[n]) for n in cells}).drop(*[c for x in names.values() for c in x])
 
 
 def _within(number: Column, blocks: tuple[str, ...]) -> Column:

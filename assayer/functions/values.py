@@ -81,8 +81,19 @@ def port_number(value: Column) -> Column:
 
 def port_status(value: Column) -> Column:
     """missing, non_integer, out_of_range or valid."""
-    text = strip(value)
-    d = port_number(value)
+    return status_of_port(strip(value), port_number(value))
+
+
+def with_ports(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """For each name, columns <name>_s (:func:`port_status`) and <name>_p (:func:`port_value`), made step by step."""
+    df = df.withColumns({f"{n}_t": strip(v) for n, v in cells.items()})
+    df = df.withColumns({f"{n}_d": _text_number(F.col(f"{n}_t")) for n in cells})
+    df = df.withColumns({f"{n}_s": status_of_port(F.col(f"{n}_t"), F.col(f"{n}_d")) for n in cells})
+    df = df.withColumns({f"{n}_p": F.when(F.col(f"{n}_s") == "valid", F.col(f"{n}_d").cast("int")) for n in cells})
+    return df.drop(*[f"{n}_{k}" for n in cells for k in "td"])
+
+
+def status_of_port(text: Column, d: Column) -> Column:
     whole = finite(d).isNotNull() & ~F.isnan(d) & (F.floor(d).cast("double") == d)
     return (
         F.when(text.isNull() | (text == "") | (F.lower(text) == "nan"), "missing")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.addresses import CATEGORIES, with_address
+from assayer.functions.addresses import CATEGORIES, with_addresses
 from assayer.functions.values import any_of, quoted
 from assayer.operators.base import Metric, Rejected, count_if, ratio, requirements, rows, total, verdict
 from assayer.sources.tabular import ROW_INDEX
@@ -22,9 +22,7 @@ def protocol_validity(df: DataFrame, spec: dict, src: str = "src", dst: str = "d
     fields = {"source_ip": ("__pv_src", src), "destination_ip": ("__pv_dst", dst)}
 
     def derive(d):
-        for name, column in fields.values():
-            d = with_address(d, name, quoted(column))
-        return d
+        return with_addresses(d, {name: quoted(column) for name, column in fields.values()})
 
     checked = F.col(version).isNotNull() if version else F.lit(True)
     kind = {f: F.col(f"{name}.class") for f, (name, _) in fields.items()}
@@ -64,9 +62,7 @@ def reserved_addresses(df: DataFrame, spec: dict) -> Metric:
     names = [f"__ra_{i}" for i in range(len(fields))]
 
     def derive(d):
-        for name, f in zip(names, fields):
-            d = with_address(d, name, quoted(f))
-        return d
+        return with_addresses(d, {name: quoted(f) for name, f in zip(names, fields)})
 
     kind = [F.col(f"{n}.class") for n in names]
     reserved = [F.coalesce(F.size(f"{n}.categories") > 0, F.lit(False)) for n in names]

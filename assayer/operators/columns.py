@@ -21,8 +21,9 @@ def field_facts(df: DataFrame, fields: list[str]) -> DataFrame:
     present = [f for f in fields if f in df.columns]
     if not present:
         return df.sparkSession.createDataFrame([], "pos int, field string, row_count long, non_null_count long, numeric_non_null_count long, unique_count long")
-    cells = F.array(*[F.struct(F.lit(i).alias("pos"), quoted(f).isNotNull().alias("there"), number(quoted(f), is_numeric(df, f)).alias("value")) for i, f in enumerate(present)])
-    by_value = df.select(F.explode(cells).alias("c")).groupBy("c.pos", "c.value").agg(rows().alias("n"), F.count_if("c.there").alias("there"))
+    cells = [c for i, f in enumerate(present) for c in (F.lit(i), quoted(f).isNotNull(), number(quoted(f), is_numeric(df, f)))]
+    long = df.select(F.stack(F.lit(len(present)), *cells).alias("pos", "there", "value"))
+    by_value = long.groupBy("pos", "value").agg(rows().alias("n"), F.count_if("there").alias("there"))
     facts = by_value.groupBy("pos").agg(
         F.sum("n").alias("row_count"),
         F.sum("there").alias("non_null_count"),

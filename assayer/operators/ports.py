@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.values import all_of, any_of, port_class, port_status, port_value, quoted, strip
+from assayer.functions.values import all_of, any_of, port_class, quoted, strip, with_ports
 from assayer.operators.base import Metric, Rejected, count_if, parameters, ratio, requirements, rows
 from assayer.sources.tabular import ROW_INDEX
 
@@ -21,11 +21,7 @@ MODES = ("any_port", "destination_only", "source_only", "both_ports")
 
 def _with_ports(fields: list[str], prefix: str):
     """Columns <prefix><i>_s (status) and <prefix><i>_p (port) of each field."""
-
-    def derive(d: DataFrame) -> DataFrame:
-        return d.withColumns({f"{prefix}{i}_{what}": make(quoted(f)) for i, f in enumerate(fields) for what, make in (("s", port_status), ("p", port_value))})
-
-    return derive
+    return lambda d: with_ports(d, {f"{prefix}{i}": quoted(f) for i, f in enumerate(fields)})
 
 
 def port_ranges(df: DataFrame, spec: dict) -> Metric:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.addresses import classify_address, ipv6_digits, with_address
+from assayer.functions.addresses import classify_address, with_addresses, with_ipv6_digits
 from assayer.functions.values import canonical_code, fold_identifier, fold_numeric, identifier, na_to_null, number, numeric_equivalent, port_class, port_status, port_value
 
 
@@ -61,7 +61,7 @@ ADDRESSES = {
 
 def test_addresses(spark):
     df = spark.createDataFrame([(a,) for a in ADDRESSES] + [(None,)], "v string")
-    got = {r["v"]: (r["a"]["class"], r["a"]["categories"]) for r in with_address(df, "a", F.col("v")).collect()}
+    got = {r["v"]: (r["a"]["class"], r["a"]["categories"]) for r in with_addresses(df, {"a": F.col("v")}).collect()}
     assert got.pop(None) == ("missing", None)
     assert got == ADDRESSES
     for a, (kind, _) in ADDRESSES.items():
@@ -93,12 +93,12 @@ def test_ipv6_agrees_with_a_parser(spark):
         return f"{int(ipaddress.IPv6Address(int(a))):032x}" if a.version == 6 else None
 
     df = spark.createDataFrame([(t,) for t in sorted(texts)], "v string")
-    wrong = [(r["v"], r["d"], want(r["v"])) for r in df.select("v", ipv6_digits(F.col("v")).alias("d")).collect() if r["d"] != want(r["v"])]
+    wrong = [(r["v"], r["d"], want(r["v"])) for r in with_ipv6_digits(df, {"d": F.col("v")}).collect() if r["d"] != want(r["v"])]
     assert not wrong, wrong[:10]
 
 
 def test_addresses_without_python(spark):
     df = spark.createDataFrame([("8.8.8.8",), ("::1",)], "v string")
-    plan = with_address(df, "a", F.col("v"))
+    plan = with_addresses(df, {"a": F.col("v")})
     assert [r["a"]["class"] for r in plan.collect()] == ["ipv4", "ipv6"]
     assert "ArrowEvalPython" not in plan._jdf.queryExecution().toString()
