@@ -135,7 +135,8 @@ def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col:
     table = salted(classes).withColumnRenamed("__salt", "__salt2")
     on = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__salt") == F.col("__salt2"))
     copies = F.col("__base") + (F.col("__rank") < F.col("__odd")).cast("long")
-    return spread.join(table, on).select(*[f"`{c}`" for c in names], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
+    # Sizes times sources grow with the corpus: a merge join, rather than a broadcast that a compressed file's size lets pass.
+    return spread.join(table.hint("merge"), on).select(*[f"`{c}`" for c in names], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
