@@ -147,10 +147,15 @@ def column_quality_summary(spark, sf_dir):
     return f.agg(F.count(F.lit(1)).alias("field_count"), F.count_if("usable_for_analysis").alias("usable_field_count"), F.count_if("constant_column").alias("constant_field_count"), F.count_if(~F.col("exists")).alias("missing_field_count"))
 
 
-@query("agg_counts", "SELECT count(*) AS agg_row_count, count(l_returnflag) AS agg_non_null, count(try_cast(l_returnflag AS DOUBLE)) AS agg_numeric_non_null FROM lineitem")
-def agg_counts(spark, sf_dir):
-    flag = F.col("l_returnflag")
-    return lineitem(spark, sf_dir).agg(F.count(F.lit(1)).alias("agg_row_count"), F.count(flag).alias("agg_non_null"), F.count(number(flag)).alias("agg_numeric_non_null"))
+def _count_query(name: str, sql: str, column) -> None:
+    @query(name, f"SELECT {sql} AS n FROM lineitem")
+    def fn(spark, sf_dir):
+        return lineitem(spark, sf_dir).agg(F.count(column()).alias("n"))
+
+
+_count_query("agg_row_count", "count(*)", lambda: F.lit(1))
+_count_query("agg_non_null", "count(l_returnflag)", lambda: F.col("l_returnflag"))
+_count_query("agg_numeric_non_null", "count(try_cast(l_returnflag AS DOUBLE))", lambda: number(F.col("l_returnflag")))
 
 
 @query("agg_numeric_distinct", "SELECT 'l_quantity' AS field, count(DISTINCT l_quantity) AS unique_count FROM lineitem UNION ALL SELECT 'l_discount', count(DISTINCT l_discount) FROM lineitem")
@@ -424,10 +429,17 @@ def protocol_validity_query(spark, sf_dir):
 # Sources and exports: files are written from the tables first, then read with the library's readers.
 
 
-def _scratch(name: str) -> str:
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share, or where that isn't a local path, a temporary one."""
+    import os
     import tempfile
+    from urllib.parse import urlparse
 
-    return tempfile.mkdtemp(prefix=f"assayer-{name}-")
+    shared = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
+    base = shared.path if shared.path and shared.scheme in ("", "file") else None
+    if base:
+        os.makedirs(base, exist_ok=True)
+    return tempfile.mkdtemp(prefix=f"assayer-{name}-", dir=base)
 
 
 def _scan(name: str, suffix: str, separator: str) -> None:
@@ -439,7 +451,7 @@ def _scan(name: str, suffix: str, separator: str) -> None:
         from assayer.sources.tabular import read_tabular
 
         rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 500").orderBy("event_id").select("event_id", "event_type", "user_id").collect()
-        path = Path(_scratch(name), f"events{suffix}")
+        path = Path(_scratch(spark, name), f"events{suffix}")
         lines = [separator.join((" event id ", " type", "user_id "))] + [separator.join((f" {i}", f'"{r[1]}"', "NA" if r[2] % 7 == 0 else str(r[2]))) for i, r in enumerate(rows)]
         path.write_text("\n".join(lines) + "\n")
         return read_tabular(spark, str(path), row_index=True)
@@ -460,7 +472,7 @@ def scan_pcap(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 500").orderBy("event_id").select(F.unix_seconds(F.col("ts").cast("timestamp")), "user_id").collect()
     frame = lambda u: bytes(12) + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 20, 0, 0, 64, 17, 0) + bytes([10, 0, u % 256, 1, 8, 8, 8, 8])
     data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", t, 0, 34, 34) + frame(u) for t, u in rows)
-    path = Path(_scratch("pcap"), "events.pcap")
+    path = Path(_scratch(spark, "pcap"), "events.pcap")
     path.write_bytes(data)
     return read_pcap(spark, str(path)).select("packet_index", F.floor("ts").alias("seconds"), "wire_len", "ip_version", "src", "dst")
 

@@ -26,12 +26,11 @@ from assayer.operators.base import Metric, Rejected
 from assayer.plans.documents import Case, check_plan, load_case, load_ranks, order_metrics, plan_tree, result_tree, results_tree, tree_lines
 from assayer.plans.progress import overall_line, status_tree
 from assayer.plans.registry import build_metric
-from assayer.sources.pcap import read_pcap
+from assayer.sources.pcap import CAPTURES, read_pcap
 from assayer.sources.tabular import ROW_INDEX, read_tabular, suffix
 
 #: Counters of one aggregation; more would outgrow the size of generated code.
 BATCH = 100
-CAPTURES = (".pcap", ".pcapng", ".cap")
 
 
 class Control:

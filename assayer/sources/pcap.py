@@ -12,10 +12,12 @@ import ipaddress
 import os
 import struct
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+CAPTURES = (".pcap", ".pcapng", ".cap")
 SCHEMA = "packet_index long, ts double, wire_len int, ip_version int, src string, dst string"
 
 # Capture file magics, link types and EtherTypes.
@@ -69,7 +71,7 @@ def _exact(file, n: int) -> bytes | None:
 
 def read_packets(path: str) -> Iterator[tuple]:
     """The packets of one capture file, in file order. ValueError for damaged or foreign files."""
-    with open(path, "rb") as file:
+    with _open(path) as file:
         head = file.read(4)
         if len(head) < 4:
             raise ValueError("not a capture file")
@@ -138,10 +140,32 @@ def _pcapng(file) -> Iterator[tuple]:
             n += 1
 
 
+def _remote(path: str):
+    """(filesystem, path) of a URI with a scheme other than file, else None."""
+    if urlparse(path).scheme in ("", "file"):
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    remote = _remote(path)
+    return remote[0].open_input_file(remote[1]) if remote else open(path.removeprefix("file://"), "rb")
+
+
 def _files(path: str) -> list[str]:
+    """The captures a path names: a file, a folder's captures, or (locally) a glob."""
+    if remote := _remote(path):
+        from pyarrow import fs
+
+        if remote[0].get_file_info(remote[1]).type != fs.FileType.Directory:
+            return [path]
+        names = [i.base_name for i in remote[0].get_file_info(fs.FileSelector(remote[1])) if i.type == fs.FileType.File]
+        return sorted(f"{path.rstrip('/')}/{n}" for n in names if n.endswith(CAPTURES))
     path = path.removeprefix("file://")
     if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if p.endswith((".pcap", ".pcapng", ".cap")))
+        return sorted(p for p in glob.glob(os.path.join(path, "*")) if p.endswith(CAPTURES))
     found = sorted(glob.glob(path))
     if not found:
         raise FileNotFoundError(path)
