@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or on a local master a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="assayer-")
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a folder without a scheme is a local path on a local master."""
+    """A new path in the shared folder, with its scheme."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
