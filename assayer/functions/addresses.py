@@ -84,59 +84,60 @@ def with_ipv6_digits(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: digits(x) for n, x in t.items()}).drop(*[c for x in t.values() for c in x.values()])
 
 
-def _hex_range(net) -> tuple[str, str]:
-    return f"{int(net[0]):032x}", f"{int(net[-1]):032x}"
+def _in_blocks(name: str, blocks: tuple[str, ...], less: tuple[str, ...], show) -> str:
+    """SQL for a column within blocks and outside exceptions; ``show`` writes an address as the column holds it."""
 
+    def inside(nets):
+        pairs = [(ipaddress.ip_network(n)[0], ipaddress.ip_network(n)[-1]) for n in nets]
+        return "(" + " OR ".join(f"{name} BETWEEN {show(a)} AND {show(b)}" for a, b in pairs) + ")"
 
-def _digits_within(digits: Column, blocks: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [digits.between(*_hex_range(ipaddress.ip_network(b))) for b in blocks], F.lit(False))
+    return f"({inside(blocks)} AND NOT {inside(less)})" if less else inside(blocks)
 
 
-def ipv6_category(digits: Column, category: str) -> Column:
-    """Whether an address is in a category; a mapped IPv4 address is private or loopback as the embedded one is."""
-    inside = _digits_within(digits, IPV6_BLOCKS[category])
-    if category in IPV6_EXCEPTIONS:
-        inside = inside & ~_digits_within(digits, IPV6_EXCEPTIONS[category])
-    if category not in ("private", "loopback"):
-        return inside
-    embedded = F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")
-    return F.when(_digits_within(digits, IPV6_BLOCKS["ipv4_mapped"]), ipv4_category(embedded, category)).otherwise(inside)
+def _ipv4_in(name: str, category: str) -> str:
+    return _in_blocks(name, IPV4_BLOCKS[category], IPV4_EXCEPTIONS.get(category, ()), lambda a: str(int(a)))
 
 
-def ipv6_categories(digits: Column) -> Column:
-    """The categories of an IPv6 address, in their fixed order."""
-    return F.array_compact(F.array(*[F.when(ipv6_category(digits, c), c) for c in CATEGORIES if IPV6_BLOCKS[c]]))
+def _ipv6_in(name: str, category: str) -> str:
+    return _in_blocks(name, IPV6_BLOCKS[category], IPV6_EXCEPTIONS.get(category, ()), lambda a: f"'{int(a):032x}'")
 
 
-def with_addresses(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    """``df`` with a struct for each name: class (missing, ipv4, ipv6, invalid), text, version and categories of a cell."""
-    names = {n: (f"__{n}_text", f"__{n}_number", f"__{n}_six") for n in cells}
-    df = df.withColumns({names[n][0]: strip(v) for n, v in cells.items()})
-    df = df.withColumns({number: F.when(holds(F.col(text).rlike(IPV4_PATTERN)), ipv4_number(F.col(text))) for text, number, _ in names.values()})
-    df = with_ipv6_digits(df, {six: F.col(text) for text, _, six in names.values()})
-
-    def struct(text, number, six):
-        kind = F.when(F.col(text).isNull() | (F.col(text) == ""), "missing").when(F.col(number).isNotNull(), "ipv4").when(F.col(six).isNotNull(), "ipv6").otherwise("invalid")
-        version = F.when(F.col(number).isNotNull(), 4).when(F.col(six).isNotNull(), 6)
-        categories = F.when(F.col(number).isNotNull(), ipv4_categories(F.col(number))).when(F.col(six).isNotNull(), ipv6_categories(F.col(six)))
-        return F.struct(kind.alias("class"), F.col(text).alias("text"), version.alias("version"), categories.alias("categories"))
+def _listed(conditions: dict[str, str]) -> str:
+    """SQL for the list of categories whose condition holds, in the order given."""
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {test} THEN '{c}' END" for c, test in conditions.items()) + "))"
+
 
-    return df.withColumns({n: struct(*names[n]) for n in cells}).drop(*[c for x in names.values() for c in x])
+def ipv4_categories(name: str) -> Column:
+    """The categories of a column of IPv4 numbers, in their fixed order."""
+    return F.expr(_listed({c: _ipv4_in(name, c) for c in CATEGORIES if IPV4_BLOCKS[c]}))
 
 
-def _within(number: Column, blocks: tuple[str, ...]) -> Column:
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    return reduce(lambda a, b: a | b, [number.between(int(n[0]), int(n[-1])) for n in nets], F.lit(False))
+def ipv6_categories(digits: str, inner: str) -> Column:
+    """The categories of a column of IPv6 digits, in their fixed order.
 
+    ``inner`` holds the embedded IPv4 number of mapped addresses, which are private or loopback as that is.
+    """
+    tests = {c: _ipv6_in(digits, c) for c in CATEGORIES if IPV6_BLOCKS[c]}
+    for c in ("private", "loopback"):
+        tests[c] = f"CASE WHEN {inner} IS NULL THEN {tests[c]} ELSE {_ipv4_in(inner, c)} END"
+    return F.expr(_listed(tests))
 
-def ipv4_category(number: Column, category: str) -> Column:
-    inside = _within(number, IPV4_BLOCKS[category])
-    return inside & ~_within(number, IPV4_EXCEPTIONS[category]) if category in IPV4_EXCEPTIONS else inside
 
+def with_addresses(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """``df`` with a struct for each name: class (missing, ipv4, ipv6, invalid), text, version and categories of a cell."""
+    parts = {n: {k: f"__{n}_{k}" for k in ("text", "number", "six", "inner")} for n in cells}
+    df = df.withColumns({parts[n]["text"]: strip(v) for n, v in cells.items()})
+    df = df.withColumns({x["number"]: F.when(holds(F.col(x["text"]).rlike(IPV4_PATTERN)), ipv4_number(F.col(x["text"]))) for x in parts.values()})
+    df = with_ipv6_digits(df, {x["six"]: F.col(x["text"]) for x in parts.values()})
+    df = df.withColumns({x["inner"]: F.expr(f"CASE WHEN {_ipv6_in(x['six'], 'ipv4_mapped')} THEN CAST(conv(substring({x['six']}, 25, 8), 16, 10) AS BIGINT) END") for x in parts.values()})
+
+    def struct(text, number, six, inner):
+        kind = F.expr(f"CASE WHEN {text} IS NULL OR {text} = '' THEN 'missing' WHEN {number} IS NOT NULL THEN 'ipv4' WHEN {six} IS NOT NULL THEN 'ipv6' ELSE 'invalid' END")
+        version = F.expr(f"CASE WHEN {number} IS NOT NULL THEN 4 WHEN {six} IS NOT NULL THEN 6 END")
+        categories = F.when(F.col(number).isNotNull(), ipv4_categories(number)).when(F.col(six).isNotNull(), ipv6_categories(six, inner))
+        return F.struct(kind.alias("class"), F.col(text).alias("text"), version.alias("version"), categories.alias("categories"))
 
-def ipv4_categories(number: Column) -> Column:
-    """The categories of an IPv4 number, in their fixed order."""
-    return F.array_compact(F.array(*[F.when(ipv4_category(number, c), c) for c in CATEGORIES if IPV4_BLOCKS[c]]))
+    return df.withColumns({n: struct(**parts[n]) for n in cells}).drop(*[c for x in parts.values() for c in x.values()])
 
 
 def classify_address(value: object) -> str:
