@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,9 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: What this process has written to the shared folder.
+_WRITTEN: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, with its scheme."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, with its scheme; it is deleted when this process ends, or by :func:`release`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+@atexit.register
+def release() -> None:
+    """Delete the intermediate tables of this process. DataFrames that read them can't be used afterwards."""
+    spark = SparkSession.getActiveSession()
+    while _WRITTEN:
+        path = _WRITTEN.pop()
+        if urlparse(path).scheme == "file":
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+        elif spark is not None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:

@@ -545,3 +545,18 @@ def test_classifier_learns(spark, odd, empty):
     assert {r["score"] for r in quality_scores(docs, nothing, settings).collect()} == {0.5}
     one = Settings(sample=40)
     assert len(set(np.round(fit(docs, labels.filter("quality = 1"), one), 3))) > 0
+
+
+def test_intermediates_can_be_released(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from assayer.llm import common
+
+    held, common._WRITTEN[:] = list(common._WRITTEN), []
+    df = common.materialize(spark.range(5), "mine")
+    path = urlparse(common._WRITTEN[0]).path
+    assert df.count() == 5 and os.path.isdir(path)
+    common.release()
+    assert not os.path.exists(path) and not common._WRITTEN
+    common._WRITTEN[:] = held
