@@ -21,6 +21,10 @@ WELL_KNOWN_MAX = 1023
 REGISTERED_MAX = 49151
 
 
+#: Texts that are numbers, blanks around them taken off.
+NUMBER_PATTERN = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
+
+
 def quoted(name: str) -> Column:
     """A column by its literal name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -52,8 +56,8 @@ def number(value: Column, numeric: bool = False) -> Column:
 
 def _text_number(value: Column) -> Column:
     text = F.trim(value.cast("string"))
-    # A cast would also take type suffixes (not to be mixed up with "inf") and hexadecimal floats.
-    return F.when(~text.rlike("[0-9.][dDfF]$|[xX]"), text.try_cast("double"))
+    # A cast would also take type suffixes and hexadecimal floats; and where it fails it is slow.
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def finite(value: Column) -> Column:
