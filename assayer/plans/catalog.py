@@ -477,6 +477,43 @@ def scan_pcap(spark, sf_dir):
     return read_pcap(spark, str(path)).select("packet_index", F.floor("ts").alias("seconds"), "wire_len", "ip_version", "src", "dst")
 
 
+# The same readers over all events. The queries above keep the rows that their SQL names.
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, with its scheme; on a local master a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def write_events(spark: SparkSession, sf_dir: str, path: str, separator: str) -> None:
+    """All events as one delimited file, in order of their ids, with a padded header and NA texts; Spark writes it."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user = F.when(F.col("user_id") % 7 == 0, "NA").otherwise(F.col("user_id").cast("string"))
+    cells = F.concat(F.lit(" "), F.col("event_id").cast("string")), F.concat(F.lit('"'), "event_type", F.lit('"')), user
+    header = spark.range(1).select(F.lit(-1).cast("long").alias("at"), F.lit(separator.join((" event id ", " type", "user_id "))).alias("value"))
+    lines = events.select(F.col("event_id").cast("long").alias("at"), F.concat_ws(separator, *cells).alias("value"))
+    header.unionByName(lines).orderBy("at").coalesce(1).select("value").write.text(path)
+
+
+def _scan_events(name: str, suffix: str, separator: str) -> None:
+    @query(name, """SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, CAST(event_id AS VARCHAR) AS "event id", event_type AS "type", CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_id FROM events""")
+    def fn(spark, sf_dir):
+        """All events as a delimited file, read as a table with row numbers over its splits."""
+        from assayer.sources.tabular import read_tabular
+
+        path = _shared(spark, f"events{suffix}")
+        write_events(spark, sf_dir, path, separator)
+        return read_tabular(spark, path, row_index=True)
+
+
+_scan_events("scan_csv_events", ".csv", ",")
+_scan_events("scan_tsv_events", ".tsv", "\t")
+
+
 # An outcome of each layout; one row each, so that SQL can state the flattened relations as literals.
 OUTCOMES = {
     "a.json": {

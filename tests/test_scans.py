@@ -1,0 +1,24 @@
+"""Readers over all events, against SQL."""
+
+import duckdb
+import pytest
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["scan_csv_events", "scan_tsv_events"])
+def test_all_events_are_scanned_over_splits(spark, name):
+    from assayer.plans.catalog import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = con.sql(ORACLE_SQL[name]).fetchall()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        df = QUERIES[name](spark, SF)
+        assert df.select("type").rdd.getNumPartitions() > 1
+        got = df.select("row_index", "event id", "type", "user_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(want) == con.sql("SELECT count(*) FROM events").fetchall()[0][0] > 500
+    assert sorted(map(tuple, got)) == sorted(want)
