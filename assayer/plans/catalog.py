@@ -514,6 +514,45 @@ _scan_events("scan_csv_events", ".csv", ",")
 _scan_events("scan_tsv_events", ".tsv", "\t")
 
 
+def write_captures(spark: SparkSession, sf_dir: str, path: str, block: int) -> None:
+    """All events as packets: a capture for each ``block`` of ids, in order of the ids; executors write them to the shared folder."""
+    import pandas as pd
+
+    from assayer.sources.pcap import _remote
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        import os
+        import struct
+
+        frame = lambda u: bytes(12) + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 20, 0, 0, 64, 17, 0) + bytes([10, 0, u % 256, 1, 8, 8, 8, 8])
+        rows = rows.sort_values("event_id")
+        data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", t, 0, 34, 34) + frame(u) for t, u in zip(rows["seconds"].tolist(), rows["user_id"].tolist()))
+        file = f"{path}/{int(rows['block'].iloc[0]):012d}.pcap"
+        if remote := _remote(file):
+            with remote[0].open_output_stream(remote[1]) as out:
+                out.write(data)
+        else:
+            file = file.removeprefix("file://")
+            os.makedirs(os.path.dirname(file), exist_ok=True)
+            with open(file, "wb") as out:
+                out.write(data)
+        return pd.DataFrame({"n": [len(rows)]})
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"), "user_id", F.floor(F.col("event_id") / block).alias("block"))
+    rows.groupBy("block").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+@query("scan_pcap_events", "SELECT row_number() OVER (PARTITION BY event_id // 2048 ORDER BY event_id) - 1 AS packet_index, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, 34 AS wire_len, 4 AS ip_version, concat('10.0.', user_id % 256, '.1') AS src, '8.8.8.8' AS dst FROM events")
+def scan_pcap_events(spark, sf_dir):
+    """All events as captures of 2,048 ids each, read as a folder; packets are numbered within their capture."""
+    from assayer.sources.pcap import read_pcap
+
+    path = _shared(spark, "captures")
+    write_captures(spark, sf_dir, path, 2048)
+    return read_pcap(spark, path).select("packet_index", F.floor("ts").alias("seconds"), "wire_len", "ip_version", "src", "dst")
+
+
 # An outcome of each layout; one row each, so that SQL can state the flattened relations as literals.
 OUTCOMES = {
     "a.json": {

@@ -22,3 +22,17 @@ def test_all_events_are_scanned_over_splits(spark, name):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(want) == con.sql("SELECT count(*) FROM events").fetchall()[0][0] > 500
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_all_events_are_scanned_from_captures(spark):
+    from collections import Counter
+
+    from assayer.plans.catalog import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.sql(ORACLE_SQL["scan_pcap_events"]).fetchall()
+    df = QUERIES["scan_pcap_events"](spark, sf)
+    assert df.rdd.getNumPartitions() > 1
+    assert Counter(map(tuple, df.collect())) == Counter(want) and len(want) == con.sql("SELECT count(*) FROM events").fetchall()[0][0]
