@@ -24,13 +24,15 @@ from assayer.functions.values import quoted
 from assayer.operators.addresses import DEFAULT_FIELDS
 from assayer.operators.base import Metric, Rejected
 from assayer.plans.documents import Case, check_plan, load_case, load_ranks, order_metrics, plan_tree, result_tree, results_tree, tree_lines
-from assayer.plans.progress import overall_line, status_tree
+from assayer.plans.progress import run_lines, task_share
 from assayer.plans.registry import build_metric
 from assayer.sources.pcap import CAPTURES, read_pcap
 from assayer.sources.tabular import ROW_INDEX, read_tabular, suffix
 
 #: Counters of one aggregation; more would outgrow the size of generated code.
 BATCH = 100
+#: Seconds between reports while metrics run.
+REPORT_S = 5.0
 
 
 class Control:
@@ -108,10 +110,11 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def run_metrics(spark: SparkSession, df: DataFrame | None, metrics: list[dict], fail_fast: bool = True, workers: int | None = None, control: Control | None = None, report: Callable[[dict, dict], None] | None = None, load_error: str | None = None) -> tuple[str, list[dict], dict, dict]:
+def run_metrics(spark: SparkSession, df: DataFrame | None, metrics: list[dict], fail_fast: bool = True, workers: int | None = None, control: Control | None = None, report: Callable[[dict, dict, float | None], None] | None = None, load_error: str | None = None) -> tuple[str, list[dict], dict, dict]:
     """(status, records, results, column validations) of the metrics, in plan order.
 
-    With ``fail_fast`` nothing behind the first failed metric is reported. A metric that raises is
+    ``report`` is given states and seconds by metric id and the share of finished tasks, as metrics end
+    and every few seconds. With ``fail_fast`` nothing behind the first failed metric is reported. A metric that raises is
     a failed metric. After a cancel, the metrics not finished are cancelled and their jobs stopped.
     """
     control = control or Control()
@@ -147,6 +150,10 @@ def run_metrics(spark: SparkSession, df: DataFrame | None, metrics: list[dict],
                     raise
                 shared = {}  # one metric's counters break the common scan: each gets its own
 
+            def tell() -> None:
+                if report:
+                    report(dict(status), {metrics[k]["metric_id"]: took[k] for k in took if took[k]}, task_share(spark, group))
+
             def one(i: int) -> None:
                 control.running.wait()
                 if control.cancelled.is_set():
@@ -165,14 +172,16 @@ def run_metrics(spark: SparkSession, df: DataFrame | None, metrics: list[dict],
                     failed[i] = {"error": f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"}
                 took[i] = round(time.perf_counter() - start, 6)
                 status[spec["metric_id"]] = "success" if i in results else "failed"
-                if report:
-                    report(dict(status), {metrics[k]["metric_id"]: took[k] for k in took if took[k]})
+                tell()
 
             with ThreadPoolExecutor(workers_for(len(order), workers)) as pool:
-                waiting = [pool.submit(one, i) for i in order]
+                waiting, told = [pool.submit(one, i) for i in order], time.monotonic()
                 while not all(f.done() for f in waiting):
                     if control.cancelled.wait(0.05):
                         spark.sparkContext.cancelJobGroup(group)
+                    if time.monotonic() - told >= REPORT_S:
+                        tell()
+                        told = time.monotonic()
                     if fail_fast and failed:
                         for i, f in zip(order, waiting):
                             if i > min(failed):
@@ -256,12 +265,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = (builder.master(args.master) if args.master else builder).getOrCreate()
     control = Control()
     control.install()
-    total = len([m for m in case.plan.get("metrics", []) if m.get("enabled", True)])
+    enabled = [m for m in case.plan.get("metrics", []) if m.get("enabled", True)]
     print(f"{case.plan['plan_meta'].get('name')} ({case.plan['plan_meta'].get('plan_id')}) | case {case.case_id} | {case.dataset} -> {case.output}")
 
-    def report(status, took):
-        print(status_tree([m for m in case.plan["metrics"] if m.get("enabled", True)], status, took, {}))
-        print(overall_line(sum(s != "running" for s in status.values()), total))
+    def report(states, seconds, share):
+        print(*run_lines(enabled, states, seconds, share), sep="\n")
 
     outcome = run_case(spark, case, ranks, args.taxonomy_strict, args.workers, control, report)
     print("Results by taxonomy:", *tree_lines(outcome["result_taxonomy"]), sep="\n")
