@@ -140,20 +140,3 @@ def test_stages_on_odd_documents(spark, count):
         else:
             packed = spark.read.schema(out.schema).parquet(path).collect()
             assert len(packed) >= docs.count() and (count or not packed)
-
-
-def test_library_stands_without_this_subpackage(monkeypatch):
-    import importlib
-
-    import __spark_entry__
-
-    real = importlib.import_module
-
-    def gone(name, *a):
-        if name.startswith(("assayer.llm", "corpus_pipeline")):
-            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
-        return real(name, *a)
-
-    monkeypatch.setattr(importlib, "import_module", gone)
-    names = __spark_entry__.queries()
-    assert "column_quality_fields" in names and not any(n.startswith("op1") for n in names) and set(__spark_entry__.oracle_sql()) <= set(names)
