@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -45,35 +45,94 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A :func:`work_path` that is there as an empty folder, for files that tasks write themselves."""
+    path = work_path(spark, name)
+    fs, place = _hadoop(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables that :func:`materialize` wrote for these frames, which can't be used afterwards."""
+    for df in frames:
+        path = df.__dict__.get("_work_path")
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            fs, place = _hadoop(df.sparkSession, path)
+            fs.delete(place, True)
+
+
 @atexit.register
 def release() -> None:
-    """Delete the intermediate tables of this process. DataFrames that read them can't be used afterwards."""
+    """Delete the intermediate tables of this process. DataFrames that read them can't be used afterwards.
+
+    Where the session has been stopped before, folders on other than local stores go with the JVM, which
+    has them marked.
+    """
     spark = SparkSession.getActiveSession()
     while _WRITTEN:
         path = _WRITTEN.pop()
         if urlparse(path).scheme == "file":
             shutil.rmtree(urlparse(path).path, ignore_errors=True)
         elif spark is not None:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            fs, place = _hadoop(spark, path)
+            fs.delete(place, True)
 
 
 def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    What comes out of a shuffle is written by two tasks a core, one after the other's partitions, so
-    that small tables don't become hundreds of files; ``spread`` keeps the partitions of scans and of
-    heavy stages as they are.
+    What comes out of a shuffle is written by :func:`few_files`, so that small tables don't become
+    hundreds of files; ``spread`` keeps the partitions of scans and of heavy stages as they are.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
     (df if spread else few_files(df)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, place = _hadoop(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_work_path"] = path
+    return out
+
+
+def materialize_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """:func:`materialize` what ``make`` returns, and delete every intermediate table that it wrote on the way."""
+    before = set(_WRITTEN)
+    out = materialize(make(), name, spread=True)
+    for path in [p for p in _WRITTEN if p not in before and p != out.__dict__["_work_path"]]:
+        _WRITTEN.remove(path)
+        fs, place = _hadoop(out.sparkSession, path)
+        fs.delete(place, True)
+    return out
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """The size of a scan's tasks, ``spark.sql.files.maxPartitionBytes``, in bytes."""
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads, after pruning of partitions; tables made on the driver count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """Two tasks a core at most, each taking several partitions one after the other; for what comes out of a shuffle."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """A task for each scan split's worth of the files read, two a core at least; for what comes out of a shuffle.
+
+    Each task takes several partitions one after the other. The count follows the input's bytes, so no
+    task grows with the input.
+    """
+    n = -(-input_bytes(df) // split_bytes(df.sparkSession))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, n))
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import materialize, salted, with_salt
+from assayer.llm.common import discard, materialize, salted, with_salt
 
 
 def _hang(pairs: DataFrame, least: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (a, b) of longs -> (node, component), the component being its smallest node.
 
     Self loops and repeated edges are harmless, null ends are dropped, no edges give no rows.
-    Each star is written to the shared folder; the loop ends when a whole round changes nothing.
+    Each star is written to the shared folder and deleted once the next one is; the loop ends when a whole round changes nothing.
     Raises RuntimeError if ``max_rounds`` don't suffice (the number grows with the log of the size).
     """
     canon = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -41,7 +41,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = materialize(_small_star(materialize(_large_star(now), "stars")), "stars")
+        large = materialize(_large_star(now), "stars")
+        small = materialize(_small_star(large), "stars")
+        discard(now, large)
+        now = small
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
