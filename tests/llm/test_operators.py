@@ -1,6 +1,7 @@
 """Each operator against a plain computation, and on nulls, empty tables, ties, repeated rows and clashing names."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -141,6 +142,41 @@ def test_vectors_equal_brute_force(spark, monkeypatch, dim, tile):
     assert len(got) == len(rows) and got == want and sum(n for n, _ in want.values()) > 200
 
 
+def test_labels_are_cut_where_that_compares_less(spark, monkeypatch):
+    """Wide budgets: a large label is compared whole, each pair once. Narrow ones: by cells. Same links as brute force either way."""
+    from assayer.llm import embeddings
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((250, 64))
+    rows = [(k, 0, v.tolist()) for k, v in enumerate((base + 0.02 * rng.standard_normal(base.shape)).astype(np.float32))]
+    rows += [(1000 + k, 0, v.tolist()) for k, v in enumerate((base[:60] + 0.02 * rng.standard_normal((60, 64))).astype(np.float32))]
+    df = spark.createDataFrame([(i, v, l) for i, l, v in rows], "vec_id long, embedding array<float>, label int")
+    plans, compared = [], []
+    monkeypatch.setattr(embeddings, "TILE", 100)
+    plan, tiles = embeddings._plans, embeddings._tiles
+    monkeypatch.setattr(embeddings, "_plans", lambda *a: plans.append(plan(*a)) or plans[-1])
+    monkeypatch.setattr(embeddings, "_tiles", lambda e: compared.append(tiles(e)) or compared[-1])
+    for cosine, cells in ((0.93, False), (0.995, True)):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df, cosine=cosine).collect()}
+        assert got == brute_links(rows, cosine) and sum(n for n, _ in got.values()) >= 120
+        assert [r["cells"] for r in plans[-1].collect()] == [cells]
+    sizes = compared[0].groupBy("i", "j").pivot("side", [0, 1]).count().fillna(0).collect()
+    assert sum(r["0"] * (r["0"] - 1) // 2 if r["i"] == r["j"] else r["0"] * r["1"] for r in sizes) == 310 * 309 // 2
+
+
+def test_crowded_tiles_hold_few_pairs(spark, monkeypatch):
+    """A label whose vectors all link, compared a few pairs at a time, with cosines at the threshold."""
+    from assayer.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "AREA", 500)
+    rng = np.random.default_rng(4)
+    at = [math.sqrt(1 - 0.93**2), 0.93]
+    rows = [(k, 5, v.tolist()) for k, v in enumerate((1 + 0.05 * rng.standard_normal((90, 8))).astype(np.float32))]
+    rows += [(200, 6, [0.0, 1.0]), (201, 6, at), (202, 6, [0.0, 3.0])]
+    df = spark.createDataFrame([(i, v, l) for i, l, v in rows], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect()} == brute_links(rows)
+
+
 def test_vectors_edges(spark):
     from assayer.llm.embeddings import near_vectors
 
