@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import few_files, local_path, map_arrow, materialize, salted, slices, with_salt, work_path
+from assayer.llm.common import few_files, local_path, map_arrow, materialize, salted, slices, split_bytes, with_salt, work_folder
 
 INDEX = "page_id long, url string, archive string, offset long, length long, digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, digest string, payload binary"
@@ -27,7 +27,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
     Of pages with equal payloads of at least ``min_bytes``, that with the largest page_id is the
     response (several rows with that page_id and payload all are; a null page_id counts as least)
-    and others revisit it. Null html is an empty payload.
+    and others revisit it. Null html is an empty payload. An empty table gives no rows.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"))
@@ -121,15 +121,20 @@ def write_archives(marked: DataFrame, folder: str, date: str = "2000-01-01T00:00
                 out.close()
 
     ordered = marked.select("page_id", "url", "payload", "digest", "record_type", "refers_to")
-    return materialize(map_arrow(ordered, run, INDEX), "warc-index")
+    return materialize(map_arrow(ordered, run, INDEX), "warc-index", spread=True)
 
 
-def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int = 8 << 20) -> DataFrame:
-    """Read the records that ``index`` (any selection of its rows) names.
+def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int = 8 << 20, task_bytes: int | None = None) -> DataFrame:
+    """Read the records that ``index`` (any selection of its rows) names; no rows give none.
 
     Rows are dealt by archive and ``span``-sized stretch and sorted by offset; neighbours no more
-    than ``gap`` bytes apart are read as one range of about ``span`` bytes at most.
+    than ``gap`` bytes apart are read as one range of about ``span`` bytes at most. There is a task for each
+    ``task_bytes`` of the chosen records (by default what a scan's tasks take), and one a core at least.
+    ``index`` is read twice and must give the same rows.
     """
+    spark = index.sparkSession
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (task_bytes or split_bytes(spark))))
 
     def run(batches):
         fs, base = local_path(folder)
@@ -152,13 +157,13 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int =
                 at = last
 
     dealt = index.select("archive", "offset", "length", F.expr(f"offset div {span}").alias("stretch"))
-    dealt = dealt.repartition("archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
+    dealt = dealt.repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
     return map_arrow(dealt, run, RECORDS)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Write all pages as WARC, read all records back, and resolve revisits to the payloads they name."""
-    folder = work_path(spark, "warc")
+    folder = work_folder(spark, "warc")
     index = write_archives(mark_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
     read = read_records(index, folder)
 
@@ -168,7 +173,7 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
             bodies = batch.column("payload").to_pylist()
             yield cols | {"n": [len(b) for b in bodies], "sha1": [hashlib.sha1(b).hexdigest() for b in bodies]}
 
-    rows = materialize(map_arrow(read, digest, "page_id long, record_type string, refers_to long, digest string, n long, sha1 string"), "warc-read")
+    rows = materialize(map_arrow(read, digest, "page_id long, record_type string, refers_to long, digest string, n long, sha1 string"), "warc-read", spread=True)
     bodies = rows.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("sha1").alias("digest"), F.col("n").alias("__n")).dropDuplicates(["refers_to", "digest"])
     joined = with_salt(rows.filter("record_type = 'revisit'"), F.col("page_id")).join(salted(bodies), ["refers_to", "digest", "__salt"], "left")
     revisits = joined.select("page_id", F.col("__n").alias("payload_bytes"), F.when(F.col("__n").isNotNull(), F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
