@@ -16,6 +16,8 @@ from assayer.llm.common import map_arrow, materialize, slices
 
 #: Samples in a row of the payload images: 64 pixels of three samples.
 ROW = 192
+#: Rows of an image that are widened to 64-bit integers at a time.
+BAND = 1 << 12
 
 
 def _header(data: bytes, count: int) -> tuple[list[int], int]:
@@ -62,11 +64,13 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     elif kind == b"1":
         flat = np.frombuffer(bytes(c for c in data[at - 1 :] if c in b"01"), np.uint8)[:n] - 48
     elif kind in b"23":
-        flat = np.array(data[at - 1 :].split()[:n], dtype=np.uint16 if most > 255 else np.uint8)
+        flat = np.array([int(x) for x in data[at - 1 :].split(maxsplit=n)[:n]], dtype=np.uint16 if most > 255 else np.uint8)
     else:
         flat = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at)
     if flat.size != n:
         raise ValueError("the image ends early")
+    if most not in (1, 255, 65535) and flat.max() > most:
+        raise ValueError("a sample above the largest")
     out = flat.reshape(height, width, planes)
     return (1 - out) * np.uint8(255) if kind in b"14" else out
 
@@ -107,27 +111,42 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """Pixels of a BMP or Netpbm image; ValueError for whatever is wrong with its bytes."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (IndexError, OverflowError, MemoryError, struct.error) as e:
+        raise ValueError(f"damaged: {e}") from e
+
+
+def _integral_at_edges(x: np.ndarray, out: int) -> np.ndarray:
+    """The integral along the first axis at its fractional edges k * n / out, k from 0 to ``out``.
+
+    Only the integral's rows beside an edge and at every BAND rows are made, so it takes little memory beside the image.
+    Between rows the integral is linear.
+    """
+    n = len(x)
+    edge = np.arange(out + 1) * n
+    low = np.minimum(edge // out, n - 1)
+    at = np.unique(np.concatenate((np.arange(0, n, BAND), low, low + 1)))
+    starts = at[at < n]
+    wide = np.int64 if x.dtype.kind in "iu" else np.float64
+    bands = np.searchsorted(starts, np.arange(0, n, BAND))
+    sums = [np.add.reduceat(x[starts[i] : starts[i] + BAND], starts[i:j] - starts[i], axis=0, dtype=wide) for i, j in zip(bands, [*bands[1:], len(starts)])]
+    sums = np.cumsum(np.concatenate(sums), axis=0)
+    table = np.concatenate((np.zeros((1, *sums.shape[1:]), wide), sums))  # the integral at ``starts`` and at the end
+    found = lambda rows: table[np.searchsorted(np.append(starts, n), rows)]
+    part = ((edge - low * out) / out)[:, None, None]
+    return found(low) * (1 - part) + found(low + 1) * part
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target pixel's area (fractions of source pixels included), by integral images.
 
-    Sums are exact in the integral image (64-bit integers); images smaller than the target are enlarged alike.
+    The first axis is summed exactly in 64-bit integers; images smaller than the target are enlarged alike.
     """
-    h, w, planes = pixels.shape
-    table = np.zeros((h + 1, w + 1, planes), np.int64)
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.int64), axis=1, out=table[1:, 1:])
-
-    def along(t: np.ndarray, n: int, out: int) -> np.ndarray:
-        """The table at the fractional edges k * n / out of its first axis, between neighbours linearly."""
-        edge = np.arange(out + 1) * n
-        low = np.minimum(edge // out, n - 1) if n else edge
-        part = ((edge - low * out) / out)[:, None, None]
-        return t[low] * (1 - part) + t[low + 1] * part
-
-    edges = along(along(table, h, height).swapaxes(0, 1), w, width).swapaxes(0, 1)
-    sums = edges[1:, 1:] - edges[:-1, 1:] - edges[1:, :-1] + edges[:-1, :-1]
+    h, w, _ = pixels.shape
+    rows = np.diff(_integral_at_edges(pixels, height), axis=0)
+    sums = np.diff(_integral_at_edges(rows.swapaxes(0, 1), width), axis=0).swapaxes(0, 1)
     return sums * (height * width / (h * w))
 
 
@@ -154,19 +173,23 @@ def pad_payload(text: bytes) -> bytes:
     return text + b" " * (-len(text) % ROW or (ROW if not text else 0))
 
 
-def media_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "ppm") -> DataFrame:
-    """doc_id, n_bytes and media: each whole text (null: empty) as an image of 64 x n RGB pixels, ``ppm`` or ``bmp``.
+def media_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = ("ppm", "bmp")) -> DataFrame:
+    """doc_id, n_bytes and media: each whole text (null: empty) as an image of 64 x n RGB pixels.
 
-    Written to the shared folder and read back, so what follows works on stored bytes.
+    The payload's CRC-32 picks one of ``kinds`` (``ppm``, ``bmp``), so equal texts are stored alike. Written
+    to the shared folder and read back, so what follows works on stored bytes. Repeated rows and null ids
+    are kept; an empty table gives no rows; a long text takes a few times its own size in memory.
     """
-    encode = {"ppm": encode_ppm, "bmp": encode_bmp}[kind]
+    encoders = [{"ppm": encode_ppm, "bmp": encode_bmp}[k] for k in kinds]
+
+    def encode(payload: bytes) -> bytes:
+        return encoders[zlib.crc32(payload) % len(encoders)](np.frombuffer(payload, np.uint8).reshape(-1, ROW // 3, 3))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1, 8 << 20):
                 texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(1).cast(pa.binary())]
-                media = [encode(np.frombuffer(pad_payload(t), np.uint8).reshape(-1, ROW // 3, 3)) for t in texts]
-                yield {"doc_id": part.column(0), "n_bytes": [len(t) for t in texts], "media": media}
+                yield {"doc_id": part.column(0), "n_bytes": [len(t) for t in texts], "media": [encode(pad_payload(t)) for t in texts]}
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialize(map_arrow(rows, run, "doc_id long, n_bytes long, media binary"), "media", spread=True)
@@ -175,7 +198,8 @@ def media_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 def media_features(stored: DataFrame, side: int = 16) -> DataFrame:
     """Decode a ``media`` column to samples: payload facts, NPY tile and difference hash. Other columns stay.
 
-    Null media, and media that can't be decoded, have null features and an ``error`` text.
+    Media that can't be decoded, for whatever damage, have null features and an ``error`` text; null media
+    have neither. Columns of the new names are replaced. An empty table gives no rows.
     """
     names = "payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature tile error".split()
     kept = [c for c in stored.columns if c not in names and c != "media"]
@@ -205,7 +229,25 @@ def media_features(stored: DataFrame, side: int = 16) -> DataFrame:
     return map_arrow(stored.select(*[f"`{c}`" for c in kept], "media"), run, ddl)
 
 
+def read_tiles(tiled: DataFrame, tile_col: str = "tile") -> DataFrame:
+    """``tiled`` with its NPY tiles read: ``tile_shape``, and ``tile_crc32`` of the samples; null tiles have neither."""
+    names = ("tile_shape", "tile_crc32")
+    kept = [c for c in tiled.columns if c not in names]
+    at = kept.index(tile_col)
+
+    def run(batches):
+        for batch in batches:
+            arrays = [None if t is None else np.load(io.BytesIO(t), allow_pickle=False) for t in batch.column(at).to_pylist()]
+            shapes = ["x".join(map(str, a.shape)) if a is not None else None for a in arrays]
+            yield {c: batch.column(i) for i, c in enumerate(kept)} | {"tile_shape": shapes, "tile_crc32": [None if a is None else zlib.crc32(a.tobytes()) for a in arrays]}
+
+    kinds = dict(tiled.dtypes)
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["tile_shape string, tile_crc32 long"])
+    return map_arrow(tiled.select(*[f"`{c}`" for c in kept]), run, ddl)
+
+
 def op6_media(spark, sf_dir: str) -> DataFrame:
-    """Every document's bytes as a PPM, stored, read back, decoded, tiled and hashed."""
-    out = media_features(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.crc32("tile").alias("tile_crc32"))
+    """Every document's bytes as PPM or BMP, stored, read back, decoded and hashed; the NPY tiles too are stored and read back."""
+    features = media_features(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")), side=8)
+    stored = materialize(features.drop("error"), "tiles", spread=True)
+    return read_tiles(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_crc32")
