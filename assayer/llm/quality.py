@@ -9,6 +9,7 @@ counts only by its difference of the two class outputs, one number a bucket.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from assayer.llm.common import map_arrow, slices
 BASE = 0x100000001B3
 UNBASE = pow(BASE, -1, 1 << 64)
 MIX = 0x9E3779B97F4A7C15
+#: Code points of a text that are worked on at a time, at some 100 bytes each.
+STRETCH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -42,38 +45,71 @@ class Settings:
     seed: int = 7
 
 
-def feature_buckets(text: str, settings: Settings) -> np.ndarray:
-    """Buckets of all features of a whole text, repeats included.
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n modulo 2**64."""
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
+
+
+def feature_parts(text: str, settings: Settings) -> Iterator[np.ndarray]:
+    """Buckets of all features of a whole text, repeats included, by stretches of the text.
 
     Words are runs of code points above U+0020. An n-gram may take the blank before or behind its word
-    as a mark of the word's end. A word that follows itself is one feature, whatever the word.
+    as a mark of the word's end. A word that follows itself is one feature, whatever the word. What crosses a stretch's end is carried over: the last code points, the
+    hash of a word that is still open, and the last whole word. So a text of any length, in one word or
+    many, has the features it would have in one piece and takes the same memory.
     """
-    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    inner = points > 32
-    points = np.where(inner, points, 32).astype(np.uint64)
-    n = len(points)
-    found = [np.array([1], np.uint64)]  # the document's end
+    u = np.uint64
+    base, blank, none = u(BASE), np.full(1, 32, np.uint64), np.zeros(0, np.uint64)
+    tail, last_word = none, none
+    open_hash = open_power = None  # of a word that reaches the last stretch's end
+    yield _bucket(np.array([1], u), settings)  # the document's end
+    for at in range(0, len(text) + 1, STRETCH):
+        fresh = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), np.uint32).astype(u)
+        fresh = np.concatenate((blank if not at else none, np.maximum(fresh, blank), blank if at + STRETCH > len(text) else none))
+        found = []
+        with np.errstate(over="ignore"):
+            points = np.concatenate((tail, fresh))
+            inner, n = points > 32, len(points)
+            rolling, whole = points[: max(0, n - 1)] * base + points[1:], None
+            for size in range(3, settings.max_gram + 1):
+                rolling = rolling[: max(0, n - size + 1)] * base + points[size - 1 :]
+                middle = inner[size - 2 : max(0, n - 1)]
+                whole = middle if whole is None else whole[: len(middle)] & middle
+                if size >= settings.min_gram:
+                    new = slice(max(0, len(tail) - size + 1), None)  # grams that end in the tail have been counted
+                    found.append(rolling[new][whole[new]] + u(size))
+            tail = points[max(0, n - settings.max_gram + 1) :]
+
+            inner, n = fresh > 32, len(fresh)
+            starts = np.flatnonzero(inner & ~np.concatenate(([False], inner[:-1])))
+            ends = np.flatnonzero(inner & ~np.concatenate((inner[1:], [False]))) + 1
+            powers, backs = _powers(BASE, n), _powers(UNBASE, n)
+            sums = np.concatenate((np.zeros(1, u), np.cumsum(fresh * powers[:n], dtype=u)))
+            words, reach = (sums[ends] - sums[starts]) * backs[starts], powers[ends - starts]
+            if open_hash is not None and n and inner[0]:
+                words[0], reach[0] = open_hash + words[0] * open_power, open_power * reach[0]
+            elif open_hash is not None and n:
+                words, reach = np.concatenate(([open_hash], words)), np.concatenate(([open_power], reach))
+            if n:
+                open_hash = open_power = None
+                if inner[-1]:
+                    open_hash, open_power, words = words[-1], reach[-1], words[:-1]
+            words = words * u(MIX)
+            found.append(words + u(0x51))
+            row = np.concatenate((last_word, words))
+            found.append(np.where(row[:-1] == row[1:], u(2), (row[:-1] ^ (row[:-1] >> u(31))) * base + row[1:]))
+            last_word = row[-1:]
+        yield _bucket(np.concatenate(found), settings)
+
+
+def _bucket(features: np.ndarray, settings: Settings) -> np.ndarray:
     with np.errstate(over="ignore"):
-        base, mix, one = np.uint64(BASE), np.uint64(MIX), np.ones(1, np.uint64)
-        rolling = points[:-1] * base + points[1:]
-        whole = None
-        for size in range(3, settings.max_gram + 1):
-            rolling = rolling[: n - size + 1] * base + points[size - 1 :]
-            whole = inner[size - 2 : n - 1].copy() if whole is None else whole[: n - size + 1] & inner[size - 2 : n - 1]
-            if size >= settings.min_gram:
-                found.append(rolling[whole] + np.uint64(size))
-        edges = np.flatnonzero(inner[1:] != inner[:-1]) + 1
-        starts, ends = edges[::2], edges[1::2]
-        if len(starts):
-            powers = np.cumprod(np.concatenate((one, np.full(n - 1, BASE, np.uint64))), dtype=np.uint64)
-            backs = np.cumprod(np.concatenate((one, np.full(n - 1, UNBASE, np.uint64))), dtype=np.uint64)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * powers, dtype=np.uint64)))
-            words = (sums[ends] - sums[starts]) * backs[starts] * mix
-            found.append(words + np.uint64(0x51))
-            a, b = words[:-1], words[1:]
-            found.append(np.where(a == b, np.uint64(2), (a ^ (a >> np.uint64(31))) * base + b))
-        every = np.concatenate(found) * mix
-    return ((every >> np.uint64(32)) % np.uint64(settings.buckets)).astype(np.int64)
+        return ((features * np.uint64(MIX) >> np.uint64(32)) % np.uint64(settings.buckets)).astype(np.int64)
+
+
+def feature_buckets(text: str, settings: Settings) -> np.ndarray:
+    """All of :func:`feature_parts` at once, for texts of bounded length."""
+    return np.concatenate(list(feature_parts(text, settings)))
 
 
 def document(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +146,27 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
 
 def score(text: str, weights: np.ndarray, settings: Settings) -> float:
     """The softmax's share of class 1 for a whole text."""
-    mean = weights[feature_buckets(text, settings)].mean()
-    return float(1 / (1 + np.exp(-np.clip(mean, -40, 40))))
+    total = n = 0
+    for found in feature_parts(text, settings):
+        total, n = total + weights[found].sum(), n + len(found)
+    return float(1 / (1 + np.exp(-np.clip(total / n, -40, 40))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> list[tuple[str, int]]:
     """(text, label) of the training sample: labelled documents outside the held-out fold.
 
     At most ``settings.sample`` ids, those of least hash. Labels other than 0 and 1 are ignored; of
-    several labels of an id the least counts. Only these rows reach the driver.
+    several labels of an id the least counts, of several texts that of least hash. Only these rows reach the
+    driver. Null ids are not trained on.
     """
     key = F.col("doc_id").cast("string")
     usable = labels.filter("quality in (0, 1) and doc_id is not null").filter(F.crc32(key.cast("binary")) % folds != 0)
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    found = found.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= settings.sample_bytes)
-    rows = sorted((r["doc_id"], r["text"] or "", r["quality"]) for r in found.limit(2 * settings.sample).collect())
+    found = found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").filter(F.octet_length("text") <= settings.sample_bytes)
+    single = found.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in single.collect())
     return [(t, q) for _, t, q in rows]
 
 
@@ -134,6 +174,8 @@ def quality_scores(df: DataFrame, weights: np.ndarray, settings: Settings = Sett
     """All rows of ``df`` with a double ``out`` (0 to 1); a column of that name is replaced.
 
     Whole texts are scored; null text counts as empty. Empty texts have the score of the document's end alone.
+    Repeated rows and null ids are kept, an empty table gives no rows. A worker holds the texts of about
+    16 MB of rows, or one longer text, and some 30 MB for the stretch it works on.
     """
     df = df.drop(out)
     at = df.columns.index(text_col)
