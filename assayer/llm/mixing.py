@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bucket_rank, few_files, materialize, ordered_rank, salted, with_salt
+from assayer.llm.common import bucket_rank, discard, few_files, materialize, ordered_rank, salted, with_salt
 
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,12 +47,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return ranked.select("source", "source_size", F.least(limit, F.col("weight") * level).alias("target"))
 
 
-def solve_tilts(counts: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
+def solve_tilts(counts: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
     """targets with ``tilt`` and ``mean``: rates min(cap, exp(tilt * size / mean)) meet each target.
 
     Newton steps on the logarithm of the words taken, held between bounds by bisection. A round is one
     aggregation over ``counts`` (source, size, n); the few columns by source are written each time.
     Sums are rounded to whole millionths of a target, so reruns agree whatever the order of addition.
+    Raises RuntimeError if a target isn't met and its bounds are still apart after ``max_rounds``.
     """
     facts = counts.filter("size > 0").groupBy("source").agg(F.sum("n").alias("docs"), F.min("size").alias("least"))
     state = targets.join(facts, targets.source.eqNullSafe(facts.source), "left").select(targets.source, "source_size", "target", F.col("source_size") / F.col("docs"), F.col("least"))
@@ -82,12 +82,16 @@ def solve_tilts(counts: DataFrame, targets: DataFrame, cap: float = 3.0, toleran
         held = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
         miss = F.abs(F.col("got") - 1)
         done = miss <= tolerance
-        state = materialize(
-            both.select("source", "source_size", "target", "mean", "least", lo.alias("lo"), hi.alias("hi"), F.when(done, F.col("tilt")).otherwise(held).alias("tilt"), F.when(done | (hi - lo < 1e-12), F.lit(0.0)).otherwise(miss).alias("miss")),
+        found = materialize(
+            both.select("source", "source_size", "target", "mean", "least", lo.alias("lo"), hi.alias("hi"), F.when(done, F.col("tilt")).otherwise(held).alias("tilt"), F.when(done | (hi - lo <= 1e-12 * F.greatest(F.lit(1.0), F.abs(lo), F.abs(hi))), F.lit(0.0)).otherwise(miss).alias("miss")),
             "tilts",
         )
+        discard(state)
+        state = found
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError("tilts did not settle")
     return state.select("source", "source_size", "target", "tilt", "mean")
 
 
@@ -103,15 +107,18 @@ def _whole_copies(pdf: pd.DataFrame, cap: float) -> pd.DataFrame:
     return pdf.assign(k=out)[["source", "size", "n", "k"]]
 
 
-def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, row_col: str | None = None) -> DataFrame:
     """All rows of ``df`` with ``size``, ``source_size``, ``target`` and ``copies`` (columns of those names are replaced).
 
     :param size: words of a row, a long.
+    :param row_col: a column that tells rows of one id apart, if ids may repeat or be null; without one, rows
+        of one id, source and size are ranked in one task.
     :param cap: no row gets more than so many copies, no target more than so many times its source.
     :returns: copies, 0 to ``cap``; the sum of copies * size over a source comes to its target but for
         about half of its smallest size. Documents of one source and size share a rate; which of them
-        get the odd copy is decided by a hash of the id, so reruns agree. Documents without words have
-        one copy. Null sources are one source. An empty table gives no rows.
+        get the odd copy is decided by a hash of the id (then ``row_col``), so reruns agree. Documents without
+        words have one copy. Null sources are one source. An empty table gives no rows. ``df`` is read
+        several times and must give the same rows.
     """
     names = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
     rows = df.withColumn("__size", size).select(*[f"`{c}`" for c in names], F.col(source_col).alias("__source"), F.col("__size"), F.xxhash64(F.lit(3), F.col(id_col)).alias("__u"))
@@ -130,7 +137,7 @@ def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col:
     classes = tilted.withColumn("rate", rate).groupBy("source").applyInPandas(whole, f"source {kinds['source']}, size long, n long, k long")
     classes = classes.join(targets, classes.source.eqNullSafe(targets.source)).drop(targets.source)
     classes = materialize(classes.select(F.col("source").alias("__s"), F.col("size").alias("__z"), "source_size", "target", F.expr("k div n").alias("__base"), F.expr("k % n").alias("__odd")), "copies")
-    ranked = bucket_rank(rows, ["__source", "__size"], ["__u", id_col], total, "__rank")
+    ranked = bucket_rank(rows, ["__source", "__size"], ["__u", id_col, *([row_col] if row_col else [])], total, "__rank")
     spread = with_salt(ranked, F.col("__u"))
     table = salted(classes).withColumnRenamed("__salt", "__salt2")
     on = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__salt") == F.col("__salt2"))
@@ -142,23 +149,24 @@ def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col:
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mix itself: every row of ``df``, unchanged, as often as it has copies (0 to ``cap``).
 
-    The copies are decided on ids, sources and sizes alone; whole rows are shuffled once, to meet their
-    copies. Rows equal in id and text pool their copies, and the first of them stands for all.
+    Each row has copies of its own, also where ids or whole rows repeat or are null; which of rows of one
+    id, source and size get an odd copy is decided by their text, then their place. Null text has no words,
+    and rows without words stay once. An empty table gives no rows. Copies are decided on ids, sources and
+    sizes alone; whole rows are written once with a row number, and shuffled once to meet their copies.
     """
-    key = [F.col(id_col).alias("__id"), F.xxhash64(F.lit(5), F.col(text_col)).alias("__h")]
-    narrow = materialize(df.select(*key, F.col(source_col).alias("__from"), word_count(F.col(text_col)).alias("__words")), "words", spread=True)
-    mixed = mix_sources(narrow, F.col("__words"), "__id", "__from", weights, cap)
-    copies = mixed.groupBy("__id", "__h").agg(F.sum("copies").alias("__n")).filter("__n > 0").withColumnsRenamed({"__id": "__k", "__h": "__g"})
-    rows = df.withColumns(dict(zip(("__id", "__h"), key)))
-    joined = rows.join(copies, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")))
-    first = joined.withColumn("__r", F.row_number().over(W.partitionBy("__k", "__g").orderBy("__h"))).filter("__r = 1")
-    repeated = first.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    return repeated.select(*[f"`{c}`" for c in df.columns])
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows", spread=True)
+    text_hash = F.coalesce(F.xxhash64(F.lit(5), F.col(text_col)), F.lit(0))
+    narrow = rows.select(F.col(id_col).alias("__id"), "__row", F.struct(text_hash.alias("text"), "__row").alias("__tie"), F.col(source_col).alias("__from"), word_count(F.col(text_col)).alias("__words"))
+    narrow = materialize(narrow, "words", spread=True)
+    mixed = mix_sources(narrow, F.col("__words"), "__id", "__from", weights, cap, "__tie")
+    copies = mixed.filter("copies > 0").select(F.col("__row").alias("__to"), F.col("copies").cast("int").alias("__n"))
+    joined = rows.join(copies.hint("merge"), rows["__row"] == F.col("__to"))
+    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in df.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3 by code point."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "words", spread=True)
-    out = mix_sources(words, F.col("size"))
+    words = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "words", spread=True)
+    out = mix_sources(words, F.col("size"), row_col="row")
     return few_files(out).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
