@@ -129,21 +129,23 @@ class Places:
 def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """All rows of ``pieces`` with ``sequence_id`` and ``offset`` longs, packed by their ``length`` (1 to capacity).
 
-    ``pieces`` is read several times and must give the same rows. Columns of the new names are replaced.
-    Equal rows are packed one by one. The driver sees one count a length and the plan made from them.
+    Columns of the new names are replaced. Equal rows and rows of null or repeated ids are packed one by one,
+    told apart by a row number; an empty table gives no rows. The driver sees one count a length and the plan
+    made from them.
     """
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = pieces.drop("sequence_id", "offset", "__row")
+    kept = pieces.columns
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces", spread=True)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = Places(plan_bins(counts, capacity))
-    ranked = bucket_rank(pieces, ["length"], [*order, *[c for c in pieces.columns if c not in (*order, "length")]], sum(counts.values()), "__rank")
-    kept = pieces.columns
+    ranked = bucket_rank(pieces, ["length"], [*order, "__row"], sum(counts.values()), "__rank")
 
     def run(batches):
         for batch in batches:
             sequence, offset = places.find(batch.column("length").to_numpy(), batch.column("__rank").to_numpy())
             yield {c: batch.column(c) for c in kept} | {"sequence_id": sequence, "offset": offset}
 
-    ddl = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    ddl = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c in kept)
     return map_arrow(ranked.select(*[f"`{c}`" for c in kept], "__rank"), run, f"{ddl}, sequence_id long, offset long")
 
 
@@ -177,7 +179,9 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 1024, id_col: str = "
     """doc_id, piece, start, length, ids_crc32 (and ``ids``) of every document's pieces.
 
     A document is its text's ids (null: none) and the end id. Longer ones than ``capacity`` are cut;
-    the first piece takes what doesn't fill a whole one. Texts of special tokens are ordinary text.
+    the first piece takes what doesn't fill a whole one. Texts of special tokens are ordinary text. Null ids
+    and repeated rows are kept as they are; an empty table gives no rows. A long text takes some 40 bytes a
+    token while it is cut.
 
     :param path: a byte-level BPE file of the tokenizers library that every executor has at that place.
     """
@@ -207,4 +211,4 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return few_files(pack(materialize(pieces, "pieces", spread=True)))
+    return few_files(pack(pieces))
