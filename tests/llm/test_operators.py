@@ -251,6 +251,65 @@ def test_mixing_edges(spark, odd, empty):
     assert {k: v for k, v in copies.items() if v} == dict(counts)
 
 
+def test_rows_that_differ_only_elsewhere_are_mixed_apart(spark):
+    """Null and repeated ids, and rows equal but for their source: each row has copies of its own, and reruns agree."""
+    from assayer.llm.mixing import mix_documents
+
+    rows = [(1, "one two", "a"), (1, "one two", "b"), (1, "one two", "b"), (None, "w " * 5, "a"), (None, "w " * 5, "a"), (None, None, None)] + [(None, "same text", "b")] * 40 + [(k, "x " * (k % 9), "ab"[k % 2]) for k in range(2, 60)]
+    df = documents(spark, rows)
+    got = Counter(tuple(r) for r in mix_documents(df).collect())
+    assert got == Counter(tuple(r) for r in mix_documents(df.repartition(7)).collect()) and set(got) <= set(rows)
+    want = Counter()
+    for r in mixed(df).collect():
+        want[r["source"], r["size"]] += r["copies"]
+    have = Counter()
+    for (_, t, s), n in got.items():
+        have[s, len((t or "").split())] += n
+    assert have == Counter({k: v for k, v in want.items() if v}) and max(got[r] / rows.count(r) for r in got) <= 3
+
+
+def slow_copies(sizes, targets, cap=3):
+    """Copies of each (source, size): tilts by bisection, then rounding from large sizes down, in plain Python."""
+    out = {}
+    for s, target in targets.items():
+        mine = Counter(n for n, x in sizes if x == s)
+        total, docs = sum(k * n for n, k in mine.items()), sum(k for n, k in mine.items() if n)
+        rate = lambda tilt, n: min(cap, math.exp(min(50.0, tilt * n * docs / total)))
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if total and sum(k * n * rate(mid, n) for n, k in mine.items()) > target else (mid, high)
+        plan = taken = 0
+        for n in sorted(mine, reverse=True):
+            plan += n * mine[n] * rate(low, n) if n else 0
+            k = mine[n] if not n else min(max(int((plan - taken) / n + 0.5), 0), cap * mine[n])
+            taken += k * n
+            out[s, n] = k
+    return out
+
+
+def test_mixing_query_equals_plain_loops(spark):
+    import re
+
+    import duckdb
+
+    from assayer.llm.mixing import op3_mixing
+
+    sf = "/root/testdata/sf0.001"
+    docs = duckdb.sql(f"SELECT doc_id, coalesce(text, ''), source FROM '{sf}/documents.parquet'").fetchall()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in docs}
+    source = {i: s for i, _, s in docs}
+    totals = Counter()
+    for i, s in source.items():
+        totals[s] += size[i]
+    want = slow_copies([(size[i], source[i]) for i in source], brute_targets(totals))
+    got = Counter()
+    for r in op3_mixing(spark, sf).collect():
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == totals[source[r["doc_id"]]]
+        got[source[r["doc_id"]], r["size"]] += r["taken"] // r["size"] if r["size"] else 1
+    assert got == Counter(want)
+
+
 # 4
 
 
@@ -354,8 +413,10 @@ def test_area_resize():
 def test_media(odd, empty):
     from assayer.llm.media import media_features, media_table
 
-    for kind in ("ppm", "bmp"):
-        rows = media_features(media_table(odd.select("doc_id", "text"), kind=kind)).collect()
+    for kinds in (("ppm",), ("bmp",), ("ppm", "bmp")):
+        stored = media_table(odd.select("doc_id", "text"), kinds=kinds)
+        assert {bytes(r["media"])[:2] for r in stored.collect()} == {{"ppm": b"P6", "bmp": b"BM"}[k] for k in kinds}
+        rows = media_features(stored).collect()
         texts = {r["doc_id"]: r["text"] for r in odd.collect()}
         assert len(rows) == len(TEXTS) + 3
         for r in rows:
@@ -368,11 +429,92 @@ def test_media(odd, empty):
     assert media_features(media_table(empty)).count() == 0
 
 
+def slow_means(pixels, height, width):
+    """Area means pixel by pixel, in fractions."""
+    from fractions import Fraction
+
+    h, w, planes = pixels.shape
+    share = lambda k, n, out, i: max(Fraction(0), min(Fraction((k + 1) * n, out), i + 1) - max(Fraction(k * n, out), i))
+    rows = [[(i, s) for i in range(h) if (s := share(k, h, height, i))] for k in range(height)]
+    cols = [[(j, s) for j in range(w) if (s := share(k, w, width, j))] for k in range(width)]
+    area = Fraction(h * w, height * width)
+    return [[[sum(si * sj * int(pixels[i, j, p]) for i, si in r for j, sj in c) / area for p in range(planes)] for c in cols] for r in rows]
+
+
+def test_hashes_and_tiles_equal_a_slow_computation():
+    import io
+
+    from assayer.llm.media import difference_hash, npy_tile
+
+    rng = np.random.default_rng(2)
+    for h, w in ((1, 64), (3, 64), (11, 7), (2, 3)):
+        pixels = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        pixels[:, : w // 2] = 32  # flat parts: neighbours that are equal
+        grey = [[sum(p) / 3 for p in row] for row in slow_means(pixels, 8, 9)]
+        bits = "".join(str(int(row[k + 1] > row[k])) for row in grey for k in range(8))
+        assert difference_hash(pixels) == f"{int(bits, 2):016x}"
+        tile = np.load(io.BytesIO(npy_tile(pixels, 4)))
+        want = [[[(2 * v.numerator + v.denominator) // (2 * v.denominator) for v in p] for p in row] for row in slow_means(pixels, 4, 4)]
+        assert tile.tolist() == want
+
+
+def test_resizing_takes_little_memory():
+    import tracemalloc
+
+    from assayer.llm.media import difference_hash
+
+    pixels = np.zeros((300_000, 64, 3), np.uint8)
+    tracemalloc.start()
+    difference_hash(pixels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000_000
+
+
+def test_media_query(spark):
+    """The registered query against plain Python."""
+    import duckdb
+
+    from assayer.llm.media import decode, op6_media
+
+    sf = "/root/testdata/sf0.001"
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    got, alike = op6_media(spark, sf).collect(), defaultdict(set)
+    assert len(got) == len(texts)
+    for r in got:
+        data = (texts[r["doc_id"]] or "").encode()
+        padded = data + b" " * (-len(data) % 192) if data else b" " * 192
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        header = 54 if zlib.crc32(padded) % 2 else len(b"P6\n64 %d\n255\n" % (len(padded) // 192))
+        assert r["media_bytes"] == header + len(padded) and len(r["feature"]) == 16
+        alike[data].add(tuple(v for k, v in r.asDict().items() if k != "doc_id"))
+    assert all(len(v) == 1 for v in alike.values()) and {zlib.crc32(d + b" " * (-len(d) % 192)) % 2 for d in alike} == {0, 1}
+    assert decode(b"P5 1 1 255\nx").shape == (1, 1, 1)
+
+
+DAMAGED = [
+    b"junk", b"", b"P2 1 1 9\n300", b"P3 1 1 255 1 2 -1", b"P2 1 1 9\n10", b"P2 1 1 255\nx", b"P5 99999999999999 99999999999999 255\n", b"P4 99999999999999999999 9\n",
+    b"P6 2 2 255", b"P1 2 2\n1", b"BM" + bytes(52),
+]
+
+
+def damaged_palette():
+    import struct
+
+    return struct.pack("<2sIHHI", b"BM", 0, 0, 0, 54 + 8) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 8, 0, 0, 0, 0, 2, 0) + bytes(8) + b"\x00\x09\0\0"
+
+
 def test_media_that_cannot_be_read(spark):
     from assayer.llm.media import media_features
 
-    got = as_dict(media_features(spark.createDataFrame([(1, b"junk", "old"), (2, None, "old")], "doc_id long, media binary, feature string")))
-    assert got[1]["error"] and got[1]["feature"] is None and got[1]["media_bytes"] == 4 and got[2]["media_bytes"] is None and got[2]["error"] is None
+    bad = [*DAMAGED, damaged_palette()]
+    rows = [(k, x, "old") for k, x in enumerate(bad)] + [(100, None, "old"), (101, b"P5 1 1 255\nx", "old"), (101, b"P5 1 1 255\nx", "old"), (None, b"P5 1 1 255\nx", "old")]
+    got = media_features(spark.createDataFrame(rows, "doc_id long, media binary, feature string")).collect()
+    found = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows)
+    for k, x in enumerate(bad):
+        assert found[k]["error"] and found[k]["feature"] is None and found[k]["media_bytes"] == len(x), x
+    assert found[100]["media_bytes"] is None and found[100]["error"] is None and found[101]["error"] is None and found[None]["feature"] == "0" * 16
 
 
 # 7
@@ -455,6 +597,57 @@ def test_token_counts(spark, odd, empty):
     assert token_counts(empty, path).count() == 0
 
 
+def library_counter():
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from assayer.llm.token_counts import UnigramCounter, load_pieces
+
+    pieces, unk = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    t = Tokenizer(models.Unigram(pieces, unk, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    return UnigramCounter(pieces, unk), lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts_over_stretches(monkeypatch):
+    """Texts cut into short stretches, at blanks, marks and runs of them, and words beyond the longest piece."""
+    from assayer.llm import token_counts
+
+    counter, want = library_counter()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "the", " ", "  ", "▁", "\n", "é", "日", "\U0001f600", "tion", " of"]) for _ in range(rng.randrange(200))) for _ in range(60)]
+    texts += ["x" * 3000, " ", "▁", "  a", "a  ", "日本" * 200]
+    monkeypatch.setattr(token_counts, "STRETCH", 7)
+    for t in texts:
+        assert counter.text(t) == want(t), t
+
+
+def test_long_texts_and_words_take_little_memory():
+    import tracemalloc
+
+    from assayer.llm.token_counts import UnigramCounter
+
+    counter = UnigramCounter([("a", -1.0), ("ab", -1.5), ("▁a", -1.0), ("<unk>", -5.0)], 3)
+    for text in ("ab" * 500_000, "ab " * 333_333):
+        tracemalloc.start()
+        n = counter.text(text)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n > 300_000 and most < 40_000_000
+
+
+def test_token_counts_query(spark):
+    import duckdb
+
+    from assayer.llm.token_counts import op8_token_counts
+
+    sf = "/root/testdata/sf0.001"
+    _, want = library_counter()
+    texts = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{sf}/documents.parquet'").fetchall()
+    got = {r["doc_id"]: (r["n_tokens"], r["n_chars"], r["n_bytes"]) for r in op8_token_counts(spark, sf).collect()}
+    assert got == {i: (want(t), len(t), len(t.encode())) for i, t in texts}
+
+
 def test_token_ties():
     from tokenizers import Tokenizer, models
 
@@ -498,6 +691,74 @@ def test_two_fit_replaces_the_smallest():
     assert plan_bins({6: 1, 3: 1, 2: 2}, 10)[0] == ((6, 2, 2), 1)
 
 
+def slow_bins(lengths, capacity):
+    """Best-two-fit on single pieces: fill greedily, then let the smallest give way to the best pair, while there is one."""
+    free, bins = sorted(lengths), []
+    while free:
+        full, gap = [], capacity
+        while fits := [n for n in free if n <= gap]:
+            free.remove(fits[-1])
+            full.append(fits[-1])
+            gap -= fits[-1]
+        while gap and len(full) > 1:
+            least = min(full)
+            pairs = [(free[i] + free[j], free[j], free[i]) for j in range(len(free)) for i in range(j) if least < free[i] + free[j] <= gap + least]
+            if not pairs:
+                break
+            total, a, b = max(pairs)
+            for n in (a, b):
+                free.remove(n)
+            full.remove(least)
+            full += [a, b]
+            free = sorted([*free, least])
+            gap += least - total
+        bins.append(tuple(sorted(full, reverse=True)))
+    return Counter(bins)
+
+
+def test_plans_equal_single_pieces():
+    from assayer.llm.packing import plan_bins
+
+    rng = random.Random(12)
+    for _ in range(300):
+        capacity = rng.choice([7, 16, 40])
+        lengths = [rng.choice((rng.randint(1, capacity), rng.randint(1, 4))) for _ in range(rng.randint(0, 40))]
+        got = Counter()
+        for bin_, times in plan_bins(dict(Counter(lengths)), capacity):
+            got[bin_] += times
+        assert got == slow_bins(lengths, capacity), (lengths, capacity)
+
+
+def test_packing_query(spark):
+    import duckdb
+
+    from assayer.llm.packing import op9_packing
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{sf}/documents.parquet'").fetchall()}
+    got = op9_packing(spark, sf).collect()
+    bins, pieces = defaultdict(list), defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and sum(b[-1]) <= 1024
+    for p in pieces.values():
+        p.sort()
+        assert [x[0] for x in p] == list(range(len(p))) and all(x[1] + x[2] == y[1] for x, y in zip(p, p[1:])) and all(x[2] == 1024 for x in p[1:])
+    assert set(pieces) == docs and Counter(tuple(sorted((n for _, n in b), reverse=True)) for b in bins.values()) == slow_bins([r["length"] for r in got], 1024)
+
+
+def test_packing_odd_rows(spark):
+    """Rows of null and repeated ids, and equal rows, have places of their own."""
+    from assayer.llm.packing import pack
+
+    rows = [(None, 0, 5)] * 300 + [(1, 0, 5)] * 5 + [(1, 0, 7), (None, None, 3)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long").withColumn("__row", F.lit(1)), 16).collect()
+    assert len(got) == len(rows) and len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows)
+
+
 def test_packing(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -558,6 +819,100 @@ def test_features():
     assert abs(share.sum() - 1) < 1e-6 and len(set(buckets)) == len(buckets)
 
 
+def slow_buckets(text, settings):
+    """Features in plain Python integers."""
+    from assayer.llm.quality import BASE, MIX
+
+    m = (1 << 64) - 1
+    points = [c if c > 32 else 32 for c in map(ord, f" {text} ")]
+    found = [1]
+    for size in range(settings.min_gram, settings.max_gram + 1):
+        for i in range(len(points) - size + 1):
+            if all(c > 32 for c in points[i + 1 : i + size - 1]):
+                h = 0
+                for c in points[i : i + size]:
+                    h = (h * BASE + c) & m
+                found.append(h + size)
+    words = []
+    for w in "".join(chr(c) for c in points).split(" "):
+        if w:
+            words.append(sum(ord(c) * BASE**k for k, c in enumerate(w)) * MIX & m)
+            found.append(words[-1] + 0x51)
+    found += [2 if a == b else ((a ^ (a >> 31)) * BASE + b) & m for a, b in zip(words, words[1:])]
+    return sorted(((f * MIX & m) >> 32) % settings.buckets for f in found)
+
+
+def test_features_equal_a_slow_computation_over_stretches(monkeypatch):
+    from assayer.llm import quality
+
+    rng, s = random.Random(6), quality.Settings()
+    texts = ["".join(rng.choice(["a", "bb", "ccc", " ", "\n", "é", "日", "word "]) for _ in range(rng.randrange(50))) for _ in range(60)] + ["", " ", "x" * 40, "\ud800 a"]
+    for stretch in (1, 2, 3, 7, 1 << 18):
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        for t in texts:
+            assert sorted(quality.feature_buckets(t, s)) == slow_buckets(t, s), (t, stretch)
+
+
+def test_long_texts_are_scored_in_little_memory():
+    import tracemalloc
+
+    from assayer.llm.quality import Settings, score
+
+    s = Settings()
+    weights = np.random.default_rng(0).standard_normal(s.buckets)
+    for text in ("abcdefghij" * 300_000, "abc defg " * 300_000):
+        tracemalloc.start()
+        value = score(text, weights, s)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert 0 < value < 1 and most < 60_000_000
+
+
+def slow_train(docs, labels, settings):
+    """The training steps in plain loops over buckets."""
+    from assayer.llm.quality import feature_buckets
+
+    rng = np.random.default_rng(settings.seed)
+    vectors = rng.uniform(-1 / settings.dim, 1 / settings.dim, (settings.buckets, settings.dim))
+    out = np.zeros((settings.dim, 2))
+    passes = -(-settings.steps // len(docs))
+    done = 0
+    for _ in range(passes):
+        for i in rng.permutation(len(docs)):
+            rate = settings.rate * (1 - done / (passes * len(docs)))
+            done += 1
+            counts = Counter(feature_buckets(docs[i], settings).tolist())
+            total = sum(counts.values())
+            share = {b: n / total for b, n in counts.items()}
+            mean = sum(p * vectors[b] for b, p in share.items())
+            odds = np.exp(mean @ out)
+            miss = odds / odds.sum() - np.eye(2)[labels[i]]
+            back = out @ miss
+            out = out - rate * np.outer(mean, miss)
+            power = sum(p * p for p in share.values())
+            for b, p in share.items():
+                vectors[b] -= rate * 0.5 * p / power * back
+    return vectors @ (out[:, 1] - out[:, 0])
+
+
+def test_training_equals_plain_loops():
+    from assayer.llm.quality import Settings, train
+
+    s = Settings(buckets=64, dim=4, steps=60)
+    docs, labels = ["good fine words", "bad bad bad", "fine good", "bad worse"], [1, 0, 1, 0]
+    assert np.allclose(train(docs, labels, s), slow_train(docs, labels, s), atol=1e-3)
+
+
+def test_repeated_ids_are_trained_on_once(spark):
+    from assayer.llm.quality import Settings, training_rows
+
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:2]
+    docs = spark.createDataFrame([(one, t) for t in ("b", "a", "b", None)] * 40 + [(two, "x"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(one, 1), (one, 0), (two, 1), (None, 1), (30, 2)], "doc_id long, quality int")
+    got = [training_rows(docs.repartition(k), labels, Settings()) for k in (1, 5)]
+    assert got[0] == got[1] and sorted(q for _, q in got[0]) == [0, 1] and len(got[0]) == 2
+
+
 def test_classifier_learns(spark, odd, empty):
     from assayer.llm.quality import Settings, fit, quality_scores
 
