@@ -102,29 +102,38 @@ def _ipv6_in(name: str, category: str) -> str:
     return _in_blocks(name, IPV6_BLOCKS[category], IPV6_EXCEPTIONS.get(category, ()), lambda a: f"'{int(a):032x}'")
 
 
-def _listed(conditions: dict[str, str]) -> str:
-    """SQL for the list of categories whose condition holds, in the order given."""
-    return "array_compact(array(" + ", ".join(f"CASE WHEN {test} THEN '{c}' END" for c, test in conditions.items()) + "))"
+def _mask(conditions: dict[str, str]) -> Column:
+    """An int with a bit for each category whose condition holds, by its place in CATEGORIES."""
+    return F.expr(" + ".join(f"CASE WHEN {test} THEN {1 << CATEGORIES.index(c)} ELSE 0 END" for c, test in conditions.items()))
 
 
-def ipv4_categories(name: str) -> Column:
-    """The categories of a column of IPv4 numbers, in their fixed order."""
-    return F.expr(_listed({c: _ipv4_in(name, c) for c in CATEGORIES if IPV4_BLOCKS[c]}))
+def in_category(mask: Column, category: str) -> Column:
+    return mask.bitwiseAND(F.lit(1 << CATEGORIES.index(category))) != 0
 
 
-def ipv6_categories(digits: str, inner: str) -> Column:
-    """The categories of a column of IPv6 digits, in their fixed order.
+def category_names(mask: Column) -> Column:
+    """A mask's categories in their fixed order; NULL for no mask."""
+    return F.when(mask.isNotNull(), F.array_compact(F.array(*[F.when(in_category(mask, c), c) for c in CATEGORIES])))
+
+
+def ipv4_mask(name: str) -> Column:
+    """The categories of a column of IPv4 numbers."""
+    return _mask({c: _ipv4_in(name, c) for c in CATEGORIES if IPV4_BLOCKS[c]})
+
+
+def ipv6_mask(digits: str, inner: str) -> Column:
+    """The categories of a column of IPv6 digits.
 
     ``inner`` holds the embedded IPv4 number of mapped addresses, which are private or loopback as that is.
     """
     tests = {c: _ipv6_in(digits, c) for c in CATEGORIES if IPV6_BLOCKS[c]}
     for c in ("private", "loopback"):
         tests[c] = f"CASE WHEN {inner} IS NULL THEN {tests[c]} ELSE {_ipv4_in(inner, c)} END"
-    return F.expr(_listed(tests))
+    return _mask(tests)
 
 
 def with_addresses(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    """``df`` with a struct for each name: class (missing, ipv4, ipv6, invalid), text, version and categories of a cell."""
+    """``df`` with a struct for each name: class (missing, ipv4, ipv6, invalid), text, version and mask (of categories) of a cell."""
     parts = {n: {k: f"__{n}_{k}" for k in ("text", "number", "six", "inner")} for n in cells}
     df = df.withColumns({parts[n]["text"]: strip(v) for n, v in cells.items()})
     df = df.withColumns({x["number"]: F.when(holds(F.col(x["text"]).rlike(IPV4_PATTERN)), ipv4_number(F.col(x["text"]))) for x in parts.values()})
@@ -134,8 +143,8 @@ def with_addresses(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
     def struct(text, number, six, inner):
         kind = F.expr(f"CASE WHEN {text} IS NULL OR {text} = '' THEN 'missing' WHEN {number} IS NOT NULL THEN 'ipv4' WHEN {six} IS NOT NULL THEN 'ipv6' ELSE 'invalid' END")
         version = F.expr(f"CASE WHEN {number} IS NOT NULL THEN 4 WHEN {six} IS NOT NULL THEN 6 END")
-        categories = F.when(F.col(number).isNotNull(), ipv4_categories(number)).when(F.col(six).isNotNull(), ipv6_categories(six, inner))
-        return F.struct(kind.alias("class"), F.col(text).alias("text"), version.alias("version"), categories.alias("categories"))
+        mask = F.when(F.col(number).isNotNull(), ipv4_mask(number)).when(F.col(six).isNotNull(), ipv6_mask(six, inner))
+        return F.struct(kind.alias("class"), F.col(text).alias("text"), version.alias("version"), mask.alias("mask"))
 
     return df.withColumns({n: struct(**parts[n]) for n in cells}).drop(*[c for x in parts.values() for c in x.values()])
 

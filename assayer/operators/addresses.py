@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.addresses import CATEGORIES, with_addresses
+from assayer.functions.addresses import CATEGORIES, category_names, in_category, with_addresses
 from assayer.functions.values import any_of, quoted
 from assayer.operators.base import Metric, Rejected, count_if, ratio, requirements, rows, total, verdict
 from assayer.sources.tabular import ROW_INDEX
@@ -65,16 +65,16 @@ def reserved_addresses(df: DataFrame, spec: dict) -> Metric:
         return with_addresses(d, {name: quoted(f) for name, f in zip(names, fields)})
 
     kind = [F.col(f"{n}.class") for n in names]
-    reserved = [F.coalesce(F.size(f"{n}.categories") > 0, F.lit(False)) for n in names]
+    reserved = [F.coalesce(F.col(f"{n}.mask") > 0, F.lit(False)) for n in names]
     counters: dict[str, Column] = {"row_count": rows(), "reserved_row_count": count_if(any_of(reserved))}
     for i in range(len(fields)):
         counters |= {f"missing_{i}": count_if(kind[i] == "missing"), f"invalid_{i}": count_if(kind[i] == "invalid"), f"ipv4_{i}": count_if(kind[i] == "ipv4"), f"ipv6_{i}": count_if(kind[i] == "ipv6"), f"reserved_{i}": count_if(reserved[i])}
     for c in CATEGORIES:
-        counters[f"category_{c}"] = total([count_if(F.array_contains(F.coalesce(F.col(f"{n}.categories"), F.array().cast("array<string>")), c)) for n in names])
+        counters[f"category_{c}"] = total([count_if(in_category(F.col(f"{n}.mask"), c)) for n in names])
 
     def cells(d, keep):
-        each = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"), F.col(f"{n}.text").alias("value"), F.col(f"{n}.class").alias("class"), F.col(f"{n}.version").alias("version"), F.col(f"{n}.categories").alias("categories")) for i, (n, f) in enumerate(zip(names, fields))])
-        return d.select(ROW_INDEX, F.explode(each).alias("c")).select(ROW_INDEX, "c.*").filter(keep).orderBy(ROW_INDEX, "pos").limit(EXAMPLES)
+        each = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"), F.col(f"{n}.text").alias("value"), F.col(f"{n}.class").alias("class"), F.col(f"{n}.version").alias("version"), F.col(f"{n}.mask").alias("mask")) for i, (n, f) in enumerate(zip(names, fields))])
+        return d.select(ROW_INDEX, F.explode(each).alias("c")).select(ROW_INDEX, "c.*").filter(keep).orderBy(ROW_INDEX, "pos").limit(EXAMPLES).withColumn("categories", category_names(F.col("mask"))).drop("mask")
 
     def finish(c, tables, examples):
         n, k = c["row_count"], len(fields)
@@ -102,6 +102,6 @@ def reserved_addresses(df: DataFrame, spec: dict) -> Metric:
 
     return Metric(
         spec["metric_id"], counters, finish, derive, row_index=True, extra={"fields": fields},
-        examples={"reserved": lambda d: cells(d, F.size("categories") > 0), "invalid": lambda d: cells(d, F.col("class") == "invalid")},
+        examples={"reserved": lambda d: cells(d, F.col("mask") > 0), "invalid": lambda d: cells(d, F.col("class") == "invalid")},
         wanted={"reserved": tuple(f"reserved_{i}" for i in range(len(fields))), "invalid": tuple(f"invalid_{i}" for i in range(len(fields)))},
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.values import finite, is_numeric, number, quoted
@@ -43,9 +44,10 @@ def quality_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     spark = df.sparkSession
     wanted = spark.range(1).select(F.posexplode(F.array(*[F.lit(f) for f in fields])).alias("pos", "field"))
     facts = field_facts(df, fields).drop("pos")
-    n = df.select(rows().alias("all_rows"))
+    # All present fields have the rows' count; only without any it must be counted. The window is over one row a field.
+    n = F.coalesce(F.max("row_count").over(W.partitionBy(F.lit(0))), F.lit(0 if set(fields) & set(df.columns) else df.count())).cast("long")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = wanted.join(facts, "field", "left").crossJoin(F.broadcast(n)).withColumn("exists", F.col("field").isin([f for f in fields if f in df.columns]))
+    out = wanted.join(facts, "field", "left").withColumn("all_rows", n).withColumn("exists", F.col("field").isin([f for f in fields if f in df.columns]))
     out = out.select("pos", "field", "exists", F.col("all_rows").alias("row_count"), zero("non_null_count"), zero("numeric_non_null_count"), zero("unique_count"))
     usable = (F.col("numeric_non_null_count") >= 2) & (F.col("unique_count") >= 2)
     return out.select(

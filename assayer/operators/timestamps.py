@@ -17,13 +17,16 @@ from assayer.operators.base import Metric, Rejected, parameters, rows
 CHUNK = 1 << 20
 
 
-def gap_facts(df: DataFrame, order: str = "packet_index", ts: str = "ts", threshold=1.0, chunk: int = CHUNK) -> DataFrame:
+def gap_facts(df: DataFrame, order: str | list[str] = "packet_index", ts: str = "ts", threshold=1.0, chunk: int = CHUNK) -> DataFrame:
     """One row: packet_count, first and last timestamp, backwards, zero and large counts, gap_count, gap_sum, gap_max.
 
     A negative difference is a backwards jump and no gap; a large gap is longer than ``threshold``. The
-    numbers have the type of ``ts``. NULL timestamps are left out. ``order`` must be a unique long.
+    numbers have the type of ``ts``. NULL timestamps are left out. ``order`` is a long, unique, or unique
+    behind the columns named before it (a file, say), which then come first in the order.
     """
-    plain = df.select(F.col(order).alias("o"), F.col(ts).alias("t")).filter("t is not null").withColumn("c", F.floor(F.col("o") / chunk))
+    *groups, last = [order] if isinstance(order, str) else order
+    place = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], F.floor(F.col(last) / chunk).alias("c"))
+    plain = df.select(F.col(last).alias("o"), F.col(ts).alias("t"), place.alias("c")).filter("t is not null")
     inner = plain.withColumn("d", F.col("t") - F.lag("t").over(W.partitionBy("c").orderBy("o")))
 
     def parts(d):

@@ -16,6 +16,7 @@ from assayer.functions.addresses import CATEGORIES, IPV4_BLOCKS, IPV4_EXCEPTIONS
 from assayer.functions.values import number, port_class, port_status, port_value
 from assayer.operators.base import Metric
 from assayer.operators.columns import field_facts, pearson_pairs, quality_fields
+from assayer.operators.flows import FLAGS
 from assayer.operators.timestamps import gap_facts
 from assayer.plans import export
 from assayer.plans.registry import build_metric
@@ -26,27 +27,36 @@ ORACLE_SQL: dict[str, str] = {}
 
 FLOWS = """
 SELECT event_id AS row_index,
-  CASE event_id % 16 WHEN 0 THEN concat('10.0.', user_id % 256, '.', event_id % 256) WHEN 1 THEN '8.8.8.8'
+  CASE event_id % 18 WHEN 0 THEN concat('10.0.', user_id % 256, '.', event_id % 256) WHEN 1 THEN '8.8.8.8'
     WHEN 2 THEN '192.0.2.7' WHEN 3 THEN '100.64.0.1' WHEN 4 THEN '198.18.0.1' WHEN 5 THEN '127.0.0.1'
     WHEN 6 THEN '169.254.1.1' WHEN 7 THEN '224.0.0.1' WHEN 8 THEN '240.0.0.1' WHEN 9 THEN '0.0.0.0'
     WHEN 10 THEN '256.1.1.1' WHEN 11 THEN '' WHEN 12 THEN NULL WHEN 13 THEN '01.2.3.4'
-    WHEN 14 THEN ' 172.16.5.4 ' ELSE '1.1.1' END AS src_ip,
-  CASE event_id % 5 WHEN 0 THEN '8.8.4.4' WHEN 1 THEN '192.168.1.1' WHEN 2 THEN '203.0.113.9' WHEN 3 THEN '192.0.0.9' ELSE '198.51.100.3' END AS dst_ip,
-  CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'abc' WHEN 3 THEN '80.5' WHEN 4 THEN '70000' WHEN 5 THEN '-1' WHEN 6 THEN '80.0' WHEN 7 THEN '1e3' WHEN 8 THEN '0' ELSE CAST(user_id * 37 % 65536 AS STRING) END AS src_port,
-  CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '53' WHEN 2 THEN ' 53 ' WHEN 3 THEN '443' ELSE CAST(49152 + event_id % 1000 AS STRING) END AS dst_port,
+    WHEN 14 THEN ' 172.16.5.4 ' WHEN 15 THEN '1.1.1' WHEN 16 THEN '2600::1' ELSE ' ::1 ' END AS src_ip,
+  CASE event_id % 17 WHEN 0 THEN '8.8.4.4' WHEN 1 THEN '192.168.1.1' WHEN 2 THEN '203.0.113.9' WHEN 3 THEN '192.0.0.9' WHEN 4 THEN '::1' WHEN 5 THEN ' fe80::1%eth0'
+    WHEN 6 THEN '::ffff:10.0.0.1' WHEN 7 THEN '::ffff:8.8.8.8' WHEN 8 THEN 'fd00::1' WHEN 9 THEN '2001:db8::1' WHEN 10 THEN 'ff02::1' WHEN 11 THEN '2600::1' WHEN 12 THEN '::'
+    WHEN 13 THEN '3fff::1' WHEN 14 THEN 'gggg::1' WHEN 15 THEN NULL ELSE '198.51.100.3' END AS dst_ip,
+  CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'abc' WHEN 3 THEN '80.5' WHEN 4 THEN '70000' WHEN 5 THEN '-1' WHEN 6 THEN '80.0' WHEN 7 THEN '1e3' WHEN 8 THEN '0' ELSE CAST(event_id * 7919 % 65536 AS STRING) END AS src_port,
+  CASE event_id % 13 WHEN 0 THEN NULL WHEN 1 THEN '53' WHEN 2 THEN ' 53 ' WHEN 3 THEN '443' WHEN 4 THEN '0' WHEN 5 THEN '8080' WHEN 6 THEN 'x' WHEN 7 THEN '99999' ELSE CAST(49152 + event_id % 1000 AS STRING) END AS dst_port,
   CASE event_id % 4 WHEN 0 THEN '17' WHEN 1 THEN 'TCP' ELSE '6' END AS protocol,
-  CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(event_id % 6 AS STRING) END AS total_fwd_packets,
+  CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 101 = 0 THEN '-2' ELSE CAST(event_id % 6 AS STRING) END AS total_fwd_packets,
   CAST(user_id % 4 AS STRING) AS total_bwd_packets,
   CASE WHEN event_id % 29 = 0 THEN 'x' WHEN event_id % 31 = 0 THEN '-1' ELSE CAST((event_id + 1) % 3 AS STRING) END AS syn_flag_count,
   CAST(event_id % 2 AS STRING) AS ack_flag_count,
   CASE WHEN event_id % 13 = 0 THEN '1' ELSE '0' END AS rst_flag_count,
   CASE WHEN event_id % 17 = 0 THEN '1' ELSE '0' END AS fin_flag_count,
+  CASE WHEN event_id % 67 = 0 THEN '9' ELSE '0' END AS psh_flag_count,
+  CASE WHEN event_id % 71 = 0 THEN '-1' ELSE '0' END AS urg_flag_count,
+  CASE WHEN event_id % 73 = 0 THEN NULL ELSE '0' END AS cwe_flag_count,
+  CASE WHEN event_id % 19 = 0 THEN ' 1 ' ELSE '0' END AS ece_flag_count,
   CASE WHEN event_id % 97 = 0 THEN -1.0e0 ELSE value * 10 END AS flow_duration,
-  value AS flow_iat_mean,
+  CASE WHEN event_id % 79 = 0 THEN NULL ELSE value END AS flow_iat_mean,
   CASE WHEN event_id % 41 = 0 THEN value * 11 ELSE value * 2 END AS flow_iat_max,
-  CASE WHEN event_id % 43 = 0 THEN value * 3 ELSE CAST(0 AS DOUBLE) END AS flow_iat_min,
+  CASE WHEN event_id % 43 = 0 THEN value * 3 WHEN event_id % 89 = 0 THEN -1.0e0 ELSE CAST(0 AS DOUBLE) END AS flow_iat_min,
+  CASE WHEN event_id % 103 = 0 THEN -1.0e0 WHEN event_id % 107 = 0 THEN NULL ELSE value END AS flow_iat_std,
+  CASE WHEN event_id % 83 = 0 THEN value * 20 ELSE value END AS fwd_iat_total,
+  CASE WHEN event_id % 109 = 0 THEN value * 30 WHEN event_id % 113 = 0 THEN NULL ELSE value END AS bwd_iat_total,
   CASE event_id % 9 WHEN 0 THEN 'Slice1' WHEN 1 THEN ' slice2 ' WHEN 2 THEN 'slice3' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN '1.0' WHEN 6 THEN '1' ELSE 'slice2' END AS slice,
-  CASE event_id % 3 WHEN 0 THEN 'cap_slice1.csv' WHEN 1 THEN 'CAP_SLICE2.csv' ELSE 'other.csv' END AS source_file,
+  CASE user_id % 4 WHEN 0 THEN 'cap_slice1.csv' WHEN 1 THEN 'CAP_SLICE2.csv' WHEN 2 THEN ' Other.csv ' ELSE 'nothing' END AS source_file,
   CASE WHEN event_id % 37 = 0 THEN 1.0e6 WHEN event_id % 53 = 0 THEN -1.0e0 ELSE CAST((event_id % 6) * 50 AS DOUBLE) END AS total_len_fwd_packets,
   CASE WHEN user_id % 4 = 0 AND event_id % 19 <> 0 THEN CAST(0 AS DOUBLE) ELSE CAST(40 AS DOUBLE) END AS total_len_bwd_packets,
   CAST(20 AS DOUBLE) AS fwd_pkt_len_min,
@@ -63,9 +73,9 @@ SPECS = {
     "protocol_validity_profile": {},
     "reserved_ip_address_profile": {"input_requirements": {"candidate_fields": ["src_ip", "dst_ip", "gone_ip"]}},
     "valid_port_range_profile": {"input_requirements": {"candidate_fields": ["src_port", "dst_port", "gone_port"]}},
-    "tcp_flag_consistency_profile": {"input_requirements": {"field_map": {k: k for k in ("protocol", "total_fwd_packets", "total_bwd_packets", "fin_flag_count", "syn_flag_count", "rst_flag_count", "ack_flag_count")}}},
+    "tcp_flag_consistency_profile": {"input_requirements": {"field_map": {k: k for k in ("protocol", "total_fwd_packets", "total_bwd_packets", *FLAGS)}}},
     "handshake_plausibility_profile": {"input_requirements": {"field_map": {k: k for k in ("protocol", "total_fwd_packets", "total_bwd_packets", "fin_flag_count", "syn_flag_count", "rst_flag_count", "ack_flag_count")}}},
-    "flow_duration_consistency_profile": {"input_requirements": {"field_map": {k: k for k in ("flow_duration", "flow_iat_mean", "flow_iat_max", "flow_iat_min")}}},
+    "flow_duration_consistency_profile": {"input_requirements": {"field_map": {k: k for k in ("flow_duration", "flow_iat_mean", "flow_iat_max", "flow_iat_min", "flow_iat_std", "fwd_iat_total", "bwd_iat_total")}}},
     "packet_byte_consistency_profile": {"input_requirements": {"field_map": {k: k for k in ("total_fwd_packets", "total_bwd_packets", "total_len_fwd_packets", "total_len_bwd_packets", "fwd_pkt_len_min", "fwd_pkt_len_mean", "fwd_pkt_len_max", "bwd_pkt_len_min", "bwd_pkt_len_mean", "bwd_pkt_len_max", "packet_length_std", "packet_length_variance")}}},
     "valid_slice_identifier_profile": {"input_requirements": {"slice_field": "slice"}, "calculation": {"parameters": {"allowed_slice_ids": ["slice1", "slice2", 1]}}},
     "slice_identifier_consistency_profile": {
@@ -74,6 +84,9 @@ SPECS = {
             {"when_field": "source_file", "operator": "contains", "value": "slice1", "expected_slice_ids": ["slice1", "1"]},
             {"when_field": "source_file", "operator": "starts_with", "value": "cap_slice2", "expected_slice_ids": ["slice2"]},
             {"when_field": "no_field", "operator": "equals", "value": "x", "expected_slice_ids": ["slice1"]},
+            {"when_field": "source_file", "operator": "equals", "value": "OTHER.csv", "expected_slice_ids": ["slice3", "Slice2"]},
+            {"when_field": "source_file", "operator": "ends_with", "value": "2.CSV", "expected_slice_ids": ["slice2", "1.0"]},
+            {"when_field": "protocol", "operator": "in", "value": ["udp", 17], "expected_slice_ids": ["slice2"]},
         ]}},
     },
 }
@@ -155,7 +168,11 @@ def _count_query(name: str, sql: str, column) -> None:
 
 _count_query("agg_row_count", "count(*)", lambda: F.lit(1))
 _count_query("agg_non_null", "count(l_returnflag)", lambda: F.col("l_returnflag"))
-_count_query("agg_numeric_non_null", "count(try_cast(l_returnflag AS DOUBLE))", lambda: number(F.col("l_returnflag")))
+
+
+@query("agg_numeric_non_null", "SELECT count(try_cast(trim(src_port) AS DOUBLE)) AS n FROM flows")
+def agg_numeric_non_null(spark, sf_dir):
+    return flows(spark, sf_dir).agg(F.count(number(F.col("src_port"))).alias("n"))
 
 
 @query("agg_numeric_distinct", "SELECT 'l_quantity' AS field, count(DISTINCT l_quantity) AS unique_count FROM lineitem UNION ALL SELECT 'l_discount', count(DISTINCT l_discount) FROM lineitem")
@@ -183,15 +200,16 @@ def pearson_validation(spark, sf_dir):
     return f.select("field", "exists", "numeric_non_null_count", F.col("unique_count").alias("numeric_unique_count"), F.col("usable_for_analysis").alias("usable_for_pearson"), reason.alias("reason"))
 
 
-_GAP = "SELECT event_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY event_id) AS d FROM events"
+_CLOCK = "CASE WHEN event_id % 17 = 0 THEN {0} - 7200000000 ELSE {0} - {0} % 300000000 END"
+_GAP = f"SELECT event_id, t, t - lag(t) OVER (ORDER BY event_id) AS d FROM (SELECT event_id, {_CLOCK.format('epoch_us(ts)')} AS t FROM events)"
 
 
 @query("timestamp_coherence", f"""SELECT count(*) AS packet_count, arg_min(t, event_id) AS first_timestamp, arg_max(t, event_id) AS last_timestamp,
   count_if(d < 0) AS backwards_jump_count, count_if(d = 0) AS zero_delta_count, count_if(d > 3600000000) AS large_gap_count, count_if(d >= 0) AS gap_count,
   CAST(sum(CASE WHEN d >= 0 THEN d END) AS BIGINT) AS gap_sum, max(CASE WHEN d >= 0 THEN d END) AS gap_max FROM ({_GAP})""")
 def timestamp_coherence(spark, sf_dir):
-    """Whole microseconds, so that sums are exact."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    """Whole microseconds, so that sums are exact; cut to five minutes, and two hours back now and then."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{_CLOCK.format('unix_micros(CAST(ts AS TIMESTAMP))')} AS t")
     return gap_facts(events, "event_id", "t", 3_600_000_000, chunk=4096)
 
 
@@ -289,22 +307,29 @@ for _name, _mode in (("service_port_any", "any_port"), ("service_port_destinatio
 @query("service_port_examples", f"""{_PORTS} SELECT row_index, CASE WHEN ss = 'valid' THEN sp END AS src_port, CASE WHEN ds = 'valid' THEN dp END AS dst_port
   FROM ports WHERE {_CHECKED} AND NOT {_MATCH['any_port']} ORDER BY row_index LIMIT 10""")
 def service_port_examples(spark, sf_dir):
+    """Ports of the first rows that don't match."""
     df = flows(spark, sf_dir)
     found = build_metric(df, service_spec("any_port")).example(df, "mismatch")
     at = lambda f: F.get(F.filter("ports", lambda p: p["field"] == f), F.lit(0))["port"].alias(f)
     return found.select(ROW_INDEX, at("src_port"), at("dst_port"))
 
 
+@query("service_port_invalid_examples", f"""{_PORTS}, f AS (SELECT * FROM ports WHERE NOT {_NONE} AND {_ANY_BAD} ORDER BY row_index LIMIT 10)
+  SELECT row_index, field, value, reason FROM (""" + " UNION ALL ".join(f"SELECT row_index, {i} AS pos, '{f}' AS field, trim({f}) AS value, {c} AS reason FROM f WHERE {c} IN ('non_integer', 'out_of_range')" for i, (f, c) in enumerate((("src_port", "ss"), ("dst_port", "ds")))) + ") ORDER BY row_index, pos LIMIT 10")
+def service_port_invalid_examples(spark, sf_dir):
+    df = flows(spark, sf_dir)
+    return build_metric(df, service_spec("any_port")).example(df, "invalid").select(ROW_INDEX, "field", "value", "reason")
+
+
 def _n(c: str) -> str:
     return f"try_cast(trim(CAST({c} AS VARCHAR)) AS DOUBLE)"
 
 
-_FLAGS = ("fin_flag_count", "syn_flag_count", "rst_flag_count", "ack_flag_count")
-_FLOW_NUMBERS = "+n AS (SELECT *, lower(trim(protocol)) IN ('6', 'tcp') AS tcp, " + ", ".join(f"{_n(c)} AS n_{c[:3]}" for c in _FLAGS) + f", {_n('total_fwd_packets')} AS fwd, {_n('total_bwd_packets')} AS bwd, {_n('total_fwd_packets')} + {_n('total_bwd_packets')} AS packets FROM flows)"
-_NEG = " OR ".join(f"coalesce(n_{f[:3]} < 0, false)" for f in _FLAGS)
-_EXC = " OR ".join(f"coalesce(n_{f[:3]} > packets, false)" for f in _FLAGS)
-_UNREAD = " OR ".join(f"n_{f[:3]} IS NULL" for f in _FLAGS)
-_POS = " OR ".join(f"coalesce(n_{f[:3]} > 0, false)" for f in _FLAGS)
+_FLOW_NUMBERS = "+n AS (SELECT *, lower(trim(protocol)) IN ('6', 'tcp') AS tcp, " + ", ".join(f"{_n(c)} AS n_{c[:3]}" for c in FLAGS) + f", {_n('total_fwd_packets')} AS fwd, {_n('total_bwd_packets')} AS bwd, {_n('total_fwd_packets')} + {_n('total_bwd_packets')} AS packets FROM flows)"
+_NEG = " OR ".join(f"coalesce(n_{f[:3]} < 0, false)" for f in FLAGS)
+_EXC = " OR ".join(f"coalesce(n_{f[:3]} > packets, false)" for f in FLAGS)
+_UNREAD = " OR ".join(f"n_{f[:3]} IS NULL" for f in FLAGS)
+_POS = " OR ".join(f"coalesce(n_{f[:3]} > 0, false)" for f in FLAGS)
 _FLAG_MASKS = f"{_FLOW_NUMBERS}, m AS (SELECT *, ({_NEG}) AS neg, ({_EXC}) AS exc, ({_UNREAD}) AS unread, ({_POS}) AS pos, packets IS NOT NULL AS checked FROM n), w AS (SELECT *, (NOT tcp AND pos AND NOT (neg OR exc OR unread) AND checked) AS stray, ((neg OR exc OR unread) AND checked) AS bad FROM m)"
 counters_query("tcp_flag_consistency", "tcp_flag_consistency_profile", f"""{_FLAG_MASKS} SELECT count(*) AS row_count, count_if(checked) AS checked_row_count, count_if(bad OR stray) AS inconsistent_row_count, count_if(tcp) AS tcp_row_count,
   count_if(neg) AS negative_flag_count, count_if(exc) AS flag_exceeds_packet_count, count_if(stray) AS non_tcp_with_tcp_flags_count, count_if(NOT checked OR unread) AS invalid_numeric_row_count FROM w""")
@@ -319,12 +344,25 @@ counters_query("handshake_plausibility", "handshake_plausibility_profile", f"""{
   count_if(kind = 'syn_only') AS syn_only_count, count_if(kind = 'syn_ack') AS syn_ack_like_count, count_if(kind = 'ack_without_syn') AS ack_without_syn_count, count_if(kind = 'rst_flow') AS rst_flow_count FROM c""")
 example_query("handshake_examples", "handshake_plausibility_profile", "examples", f"{_SHAKES} SELECT row_index, kind AS reason FROM c WHERE {_SUSPECT} ORDER BY row_index LIMIT 10")
 
+
+
+@query("handshake_other_policy", f"""{_SHAKES.replace("WHEN n_rst > 0 THEN 'rst_flow' ", "")} SELECT count(*) AS row_count, count_if(tcp) AS tcp_row_count, count_if(checked) AS checked_tcp_row_count,
+  count_if(kind IN ('syn_only', 'syn_ack')) AS plausible_tcp_row_count, count_if(kind IN ('ack_without_syn', 'no_syn_no_ack_multi_packet')) AS suspicious_tcp_row_count, count_if(kind = 'uncertain') AS uncertain_tcp_row_count,
+  count_if(kind = 'syn_only') AS syn_only_count, count_if(kind = 'syn_ack') AS syn_ack_like_count, count_if(kind = 'ack_without_syn') AS ack_without_syn_count, CAST(0 AS BIGINT) AS rst_flow_count FROM c""")
+def handshake_other_policy(spark, sf_dir):
+    """A lone SYN is plausible, a reset is nothing of its own."""
+    df = flows(spark, sf_dir)
+    spec = {"metric_id": "handshake_plausibility_profile", "calculation": {"parameters": {"allow_syn_only": True, "allow_rst_flows": False}}}
+    return build_metric(df, spec | SPECS["handshake_plausibility_profile"]).counts(df)
+
+
 _DURATIONS = """+v AS (SELECT *, flow_duration IS NOT NULL AND flow_iat_mean IS NOT NULL AND flow_iat_max IS NOT NULL AND flow_iat_min IS NOT NULL AS checked FROM flows),
-w AS (SELECT *, checked AND flow_duration < 0 AS k0, checked AND (flow_iat_min < 0 OR flow_iat_mean < 0 OR flow_iat_max < 0) AS k1,
-  checked AND NOT (flow_iat_min <= flow_iat_mean AND flow_iat_mean <= flow_iat_max) AS k2, checked AND flow_iat_max > flow_duration + 1e-6 AS k3 FROM v)"""
-counters_query("flow_duration_consistency", "flow_duration_consistency_profile", f"""{_DURATIONS} SELECT count(*) AS row_count, count_if(checked) AS checked_row_count, count_if(k0 OR k1 OR k2 OR k3) AS inconsistent_row_count, count_if(k0) AS negative_duration_count,
-  count_if(k1) AS negative_iat_count, count_if(k2) AS iat_order_violation_count, count_if(k3) AS iat_exceeds_duration_count, CAST(0 AS BIGINT) AS direction_iat_exceeds_duration_count FROM w""")
-example_query("flow_duration_examples", "flow_duration_consistency_profile", "examples", f"{_DURATIONS} SELECT row_index, 'duration_iat_violation' AS reason FROM w WHERE k0 OR k1 OR k2 OR k3 ORDER BY row_index LIMIT 10")
+w AS (SELECT *, checked AND flow_duration < 0 AS k0, checked AND (flow_iat_min < 0 OR flow_iat_mean < 0 OR flow_iat_max < 0 OR coalesce(flow_iat_std < 0, false)) AS k1,
+  checked AND NOT (flow_iat_min <= flow_iat_mean AND flow_iat_mean <= flow_iat_max) AS k2, checked AND flow_iat_max > flow_duration + 1e-6 AS k3,
+  checked AND (coalesce(fwd_iat_total > flow_duration + 1e-6, false) OR coalesce(bwd_iat_total > flow_duration + 1e-6, false)) AS k4 FROM v)"""
+counters_query("flow_duration_consistency", "flow_duration_consistency_profile", f"""{_DURATIONS} SELECT count(*) AS row_count, count_if(checked) AS checked_row_count, count_if(k0 OR k1 OR k2 OR k3 OR k4) AS inconsistent_row_count, count_if(k0) AS negative_duration_count,
+  count_if(k1) AS negative_iat_count, count_if(k2) AS iat_order_violation_count, count_if(k3) AS iat_exceeds_duration_count, count_if(k4) AS direction_iat_exceeds_duration_count FROM w""")
+example_query("flow_duration_examples", "flow_duration_consistency_profile", "examples", f"{_DURATIONS} SELECT row_index, 'duration_iat_violation' AS reason FROM w WHERE k0 OR k1 OR k2 OR k3 OR k4 ORDER BY row_index LIMIT 10")
 
 _BYTES = f"""+v AS (SELECT *, {_n('total_fwd_packets')} AS fp, {_n('total_bwd_packets')} AS bp FROM flows),
 c AS (SELECT *, fp IS NOT NULL AND bp IS NOT NULL AS checked FROM v),
@@ -344,21 +382,32 @@ counters_query("valid_slice_identifier", "valid_slice_identifier_profile", f"{_S
 example_query("valid_slice_examples", "valid_slice_identifier_profile", "invalid", f"{_SLICES} SELECT row_index, CASE WHEN id IS NOT NULL THEN slice END AS value, CASE WHEN id IS NULL THEN 'missing_slice_id' ELSE 'slice_id_not_allowed' END AS reason FROM w WHERE NOT known ORDER BY row_index LIMIT 10")
 
 
+@query("valid_slice_aliases", """+v AS (SELECT CASE nullif(trim(slice), '') WHEN 'slice3' THEN 'Slice1' WHEN '1.0' THEN 'none' ELSE nullif(trim(slice), '') END AS id FROM flows)
+  SELECT count(*) AS row_count, count_if(id IS NULL) AS missing_slice_count, count_if(coalesce(id IN ('Slice1', '1'), false)) AS valid_slice_count FROM v""")
+def valid_slice_aliases(spark, sf_dir):
+    """Case counts, two identifiers have aliases, numbers have no equivalents."""
+    df = flows(spark, sf_dir)
+    p = {"allowed_slice_ids": ["Slice1", 1], "case_sensitive": True, "allow_numeric_equivalents": False, "slice_aliases": {"slice3": "Slice1", "1.0": "none"}}
+    return build_metric(df, {"metric_id": "valid_slice_identifier_profile", "input_requirements": {"slice_field": "slice"}, "calculation": {"parameters": p}}).counts(df)
+
+
 @query("valid_slice_observed", f"{_SLICES} SELECT DISTINCT id FROM w WHERE id IS NOT NULL")
 def valid_slice_observed(spark, sf_dir):
     df, metric = flow_metric(spark, sf_dir, "valid_slice_identifier_profile")
     return metric.table(df, "observed")
 
 
-_RULES = f"""+v AS (SELECT *, {_SLICE} AS id, contains(lower(source_file), 'slice1') AS h0, starts_with(lower(source_file), 'cap_slice2') AS h1 FROM flows),
-w AS (SELECT *, (h0 OR h1) AND id IS NOT NULL AND ((h0 AND id IN ('slice1', '1')) OR (h1 AND id = 'slice2')) AS agrees, (h0 OR h1) AND id IS NOT NULL AS seen, (h0 OR h1) AS matched FROM v)"""
-_RULE_COLUMNS = ", ".join(f"count_if(h{i}) AS applied_{i}, count_if(h{i} AND agrees) AS agreed_{i}, count_if(h{i} AND seen AND NOT agrees) AS differed_{i}" for i in (0, 1))
+_EXPECTED = {0: ("1", "slice1"), 1: ("slice2",), 3: ("slice2", "slice3"), 4: ("1.0", "slice2"), 5: ("slice2",)}
+_HIT = " OR ".join(f"h{i}" for i in _EXPECTED)
+_RULES = f"""+v AS (SELECT *, {_SLICE} AS id, contains(lower(source_file), 'slice1') AS h0, starts_with(lower(source_file), 'cap_slice2') AS h1, lower(trim(source_file)) = 'other.csv' AS h3,
+  ends_with(lower(source_file), '2.csv') AS h4, lower(trim(protocol)) IN ('udp', '17') AS h5 FROM flows),
+w AS (SELECT *, ({_HIT}) AND id IS NOT NULL AND ({" OR ".join(f"(h{i} AND id IN {str(e) if len(e) > 1 else str(e).replace(',', '')})" for i, e in _EXPECTED.items())}) AS agrees, ({_HIT}) AND id IS NOT NULL AS seen, ({_HIT}) AS matched FROM v)"""
+_RULE_COLUMNS = ", ".join(f"count_if(h{i}) AS applied_{i}, count_if(h{i} AND agrees) AS agreed_{i}, count_if(h{i} AND seen AND NOT agrees) AS differed_{i}" for i in _EXPECTED)
 counters_query("slice_identifier_consistency", "slice_identifier_consistency_profile", f"""{_RULES} SELECT count(*) AS row_count, count_if(agrees) AS consistent_row_count, count_if(seen AND NOT agrees) AS differing_row_count,
   count_if(matched AND id IS NULL) AS missing_slice_count, count_if(NOT matched) AS unmatched_context_row_count, {_RULE_COLUMNS} FROM w""")
 
 
-@query("slice_identifier_consistency_rules", f"""{_RULES} SELECT 0 AS rule_index, count_if(h0) AS application_count, count_if(h0 AND agrees) AS consistent_count, count_if(h0 AND seen AND NOT agrees) AS inconsistent_count FROM w
-  UNION ALL SELECT 1, count_if(h1), count_if(h1 AND agrees), count_if(h1 AND seen AND NOT agrees) FROM w UNION ALL SELECT 2, 0, 0, 0""")
+@query("slice_identifier_consistency_rules", f"""{_RULES} """ + " UNION ALL ".join(f"SELECT {i} AS rule_index, count_if(h{i}) AS application_count, count_if(h{i} AND agrees) AS consistent_count, count_if(h{i} AND seen AND NOT agrees) AS inconsistent_count FROM w" for i in _EXPECTED) + " UNION ALL SELECT 2, 0, 0, 0")
 def slice_identifier_consistency_rules(spark, sf_dir):
     df, metric = flow_metric(spark, sf_dir, "slice_identifier_consistency_profile")
     there = {r["rule_index"] for r in metric.extra["usable"]}
@@ -368,7 +417,7 @@ def slice_identifier_consistency_rules(spark, sf_dir):
 
 example_query(
     "slice_consistency_examples", "slice_identifier_consistency_profile", "examples",
-    f"""{_RULES} SELECT row_index, id AS observed, CASE WHEN h0 AND h1 THEN '1|slice1|slice2' WHEN h0 THEN '1|slice1' ELSE 'slice2' END AS expected, source_file FROM w WHERE seen AND NOT agrees ORDER BY row_index LIMIT 10""",
+    f"""{_RULES} SELECT row_index, id AS observed, array_to_string(list_sort(list_distinct(flatten([{", ".join(f"CASE WHEN h{i} THEN {list(e)} ELSE [] END" for i, e in _EXPECTED.items())}]))), '|') AS expected, trim(source_file) AS source_file FROM w WHERE seen AND NOT agrees ORDER BY row_index LIMIT 10""",
     lambda d: d.select(ROW_INDEX, "observed", F.concat_ws("|", "expected").alias("expected"), F.get("context", F.lit(0)).alias("source_file")),
 )
 
@@ -382,21 +431,36 @@ def _net_sql(number: str, blocks: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"{number} BETWEEN {int(n[0])} AND {int(n[-1])}" for n in nets) + ")"
 
 
+# The IPv6 texts of the flow view and their categories.
+_IPV6 = {
+    "::1": ("private", "loopback", "reserved"), "fe80::1%eth0": ("private", "link_local"), "::ffff:10.0.0.1": ("private", "reserved", "ipv4_mapped"), "::ffff:8.8.8.8": ("reserved", "ipv4_mapped"),
+    "fd00::1": ("private", "unique_local"), "2001:db8::1": ("private", "documentation"), "ff02::1": ("multicast",), "2600::1": (), "::": ("private", "reserved", "unspecified"), "3fff::1": ("documentation",),
+}
+_FIELD = {"a0": "src_ip", "a1": "dst_ip"}
+
+
+def _texts_sql(field: str, category: str | None = None) -> str:
+    """Whether a field holds one of the IPv6 texts (of a category)."""
+    listed = [t for t, c in _IPV6.items() if category is None or category in c]
+    return f"coalesce(trim({field}) IN ({', '.join(map(repr, listed))}), false)" if listed else "false"
+
+
 def _category_sql(number: str, category: str) -> str:
+    six = _texts_sql(_FIELD[number], category)
     if not IPV4_BLOCKS[category]:
-        return "false"
+        return f"({six})"
     less = f" AND NOT {_net_sql(number, IPV4_EXCEPTIONS[category])}" if category in IPV4_EXCEPTIONS else ""
-    return f"coalesce({_net_sql(number, IPV4_BLOCKS[category])}{less}, false)"
+    return f"(coalesce({_net_sql(number, IPV4_BLOCKS[category])}{less}, false) OR {six})"
 
 
 def _address_sql(c: str, k: int) -> str:
     four = f"regexp_matches(trim({c}), '{IPV4_PATTERN}')"
     parts = " + ".join(f"CAST(split_part(trim({c}), '.', {i + 1}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4))
-    return f"CASE WHEN {c} IS NULL OR trim({c}) = '' THEN 'missing' WHEN {four} THEN 'ipv4' ELSE 'invalid' END AS c{k}, CASE WHEN coalesce({four}, false) THEN {parts} END AS a{k}"
+    return f"CASE WHEN {c} IS NULL OR trim({c}) = '' THEN 'missing' WHEN {four} THEN 'ipv4' WHEN {_texts_sql(c)} THEN 'ipv6' ELSE 'invalid' END AS c{k}, CASE WHEN coalesce({four}, false) THEN {parts} END AS a{k}"
 
 
 _ADDRESSES = f"+v AS (SELECT *, {_address_sql('src_ip', 0)}, {_address_sql('dst_ip', 1)} FROM flows), w AS (SELECT *, " + ", ".join("(" + " OR ".join(_category_sql(f"a{k}", c) for c in CATEGORIES) + f") AS r{k}" for k in (0, 1)) + " FROM v)"
-counters_query("reserved_ip_summary", "reserved_ip_address_profile", f"{_ADDRESSES} SELECT count(*) AS row_count, count_if(r0 OR r1) AS reserved_row_count, " + ", ".join(f"count_if(c{k} = 'missing') AS missing_{k}, count_if(c{k} = 'invalid') AS invalid_{k}, count_if(c{k} = 'ipv4') AS ipv4_{k}, CAST(0 AS BIGINT) AS ipv6_{k}, count_if(r{k}) AS reserved_{k}" for k in (0, 1)) + ", " + ", ".join(f"count_if({_category_sql('a0', c)}) + count_if({_category_sql('a1', c)}) AS category_{c}" for c in CATEGORIES) + " FROM w")
+counters_query("reserved_ip_summary", "reserved_ip_address_profile", f"{_ADDRESSES} SELECT count(*) AS row_count, count_if(r0 OR r1) AS reserved_row_count, " + ", ".join(f"count_if(c{k} = 'missing') AS missing_{k}, count_if(c{k} = 'invalid') AS invalid_{k}, count_if(c{k} = 'ipv4') AS ipv4_{k}, count_if(c{k} = 'ipv6') AS ipv6_{k}, count_if(r{k}) AS reserved_{k}" for k in (0, 1)) + ", " + ", ".join(f"count_if({_category_sql('a0', c)}) + count_if({_category_sql('a1', c)}) AS category_{c}" for c in CATEGORIES) + " FROM w")
 
 
 @query("reserved_ip_categories", f"{_ADDRESSES} " + " UNION ALL ".join(f"SELECT '{c}' AS category, count_if({_category_sql('a0', c)}) + count_if({_category_sql('a1', c)}) AS n FROM w" for c in CATEGORIES))
@@ -405,18 +469,22 @@ def reserved_ip_categories(spark, sf_dir):
     return metric.counts(df).select(F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"category_{c}").alias("n")) for c in CATEGORIES])))
 
 
-@query("reserved_ip_fields", f"{_ADDRESSES} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS checked_address_count, count_if(c{k} = 'ipv4') AS valid_address_count, count_if(c{k} = 'invalid') AS invalid_address_count, count_if(c{k} = 'missing') AS missing_address_count, count_if(r{k}) AS reserved_address_count FROM w" for k, f in enumerate(("src_ip", "dst_ip"))))
+@query("reserved_ip_fields", f"{_ADDRESSES} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS checked_address_count, count_if(c{k} IN ('ipv4', 'ipv6')) AS valid_address_count, count_if(c{k} = 'invalid') AS invalid_address_count, count_if(c{k} = 'missing') AS missing_address_count, count_if(r{k}) AS reserved_address_count FROM w" for k, f in enumerate(("src_ip", "dst_ip"))))
 def reserved_ip_fields(spark, sf_dir):
     df, metric = flow_metric(spark, sf_dir, "reserved_ip_address_profile")
     each = [F.struct(F.lit(f).alias("field"), F.col("row_count").alias("checked_address_count"), (F.col(f"ipv4_{i}") + F.col(f"ipv6_{i}")).alias("valid_address_count"), F.col(f"invalid_{i}").alias("invalid_address_count"), F.col(f"missing_{i}").alias("missing_address_count"), F.col(f"reserved_{i}").alias("reserved_address_count")) for i, f in enumerate(metric.extra["fields"])]
     return metric.counts(df).select(F.inline(F.array(*each)))
 
 
-_LISTED = "concat_ws('|', " + ", ".join(f"CASE WHEN {_category_sql('{a}', c)} THEN '{c}' END" for c in CATEGORIES) + ")"
-_IP_CELLS = " UNION ALL ".join(f"SELECT row_index, {k} AS pos, '{f}' AS field, trim({f}) AS value, {_LISTED.replace('{a}', f'a{k}')} AS categories FROM w WHERE r{k}" for k, f in enumerate(("src_ip", "dst_ip")))
+_LISTED = {a: "concat_ws('|', " + ", ".join(f"CASE WHEN {_category_sql(a, c)} THEN '{c}' END" for c in CATEGORIES) + ")" for a in _FIELD}
+_IP_CELLS = " UNION ALL ".join(f"SELECT row_index, {k} AS pos, '{f}' AS field, trim({f}) AS value, {_LISTED[f'a{k}']} AS categories FROM w WHERE r{k}" for k, f in enumerate(("src_ip", "dst_ip")))
 example_query("reserved_ip_examples", "reserved_ip_address_profile", "reserved", f"{_ADDRESSES} SELECT row_index, field, value, categories FROM ({_IP_CELLS}) ORDER BY row_index, pos LIMIT 20", lambda d: d.select(ROW_INDEX, "field", "value", F.concat_ws("|", "categories").alias("categories")))
 
 
+_BAD_CELLS = " UNION ALL ".join(f"SELECT row_index, {k} AS pos, '{f}' AS field, trim({f}) AS value FROM w WHERE c{k} = 'invalid'" for k, f in enumerate(("src_ip", "dst_ip")))
+example_query("invalid_ip_examples", "reserved_ip_address_profile", "invalid", f"{_ADDRESSES} SELECT row_index, field, value FROM ({_BAD_CELLS}) ORDER BY row_index, pos LIMIT 20", lambda d: d.select(ROW_INDEX, "field", "value"))
+
+
 @query("protocol_validity", f"""{_ADDRESSES} SELECT count(*) AS packet_count, CAST(0 AS BIGINT) AS zero_length_packet_count, count_if(c0 <> 'invalid' AND c1 <> 'invalid') AS valid_packet_count, count(*) AS checked_row_count,
   count_if(c0 = 'invalid' OR c1 = 'invalid') AS invalid_row_count, """ + ", ".join(f"count_if(c{k} = '{c}') AS {f}_{c}" for k, f in enumerate(("source_ip", "destination_ip")) for c in ("missing", "ipv4", "ipv6", "invalid")) + " FROM w")
 def protocol_validity_query(spark, sf_dir):
@@ -426,58 +494,7 @@ def protocol_validity_query(spark, sf_dir):
     return protocol_validity(df, {"metric_id": "protocol_validity_profile"}, "src_ip", "dst_ip", None, None).counts(df)
 
 
-# Sources and exports: files are written from the tables first, then read with the library's readers.
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share, or where that isn't a local path, a temporary one."""
-    import os
-    import tempfile
-    from urllib.parse import urlparse
-
-    shared = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
-    base = shared.path if shared.path and shared.scheme in ("", "file") else None
-    if base:
-        os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"assayer-{name}-", dir=base)
-
-
-def _scan(name: str, suffix: str, separator: str) -> None:
-    @query(name, """SELECT event_id AS row_index, CAST(event_id AS VARCHAR) AS "event id", event_type AS "type", CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_id FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id, event_id AS e, event_type, user_id FROM events WHERE event_id < 500)""")
-    def fn(spark, sf_dir):
-        """A small file with a padded header and NA texts, read as a table."""
-        from pathlib import Path
-
-        from assayer.sources.tabular import read_tabular
-
-        rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 500").orderBy("event_id").select("event_id", "event_type", "user_id").collect()
-        path = Path(_scratch(spark, name), f"events{suffix}")
-        lines = [separator.join((" event id ", " type", "user_id "))] + [separator.join((f" {i}", f'"{r[1]}"', "NA" if r[2] % 7 == 0 else str(r[2]))) for i, r in enumerate(rows)]
-        path.write_text("\n".join(lines) + "\n")
-        return read_tabular(spark, str(path), row_index=True)
-
-
-_scan("scan_csv", ".csv", ",")
-_scan("scan_tsv", ".tsv", "\t")
-
-
-@query("scan_pcap", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS packet_index, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, 34 AS wire_len, 4 AS ip_version, concat('10.0.', user_id % 256, '.1') AS src, '8.8.8.8' AS dst FROM events WHERE event_id < 500")
-def scan_pcap(spark, sf_dir):
-    """A small capture, read with the data source."""
-    import struct
-    from pathlib import Path
-
-    from assayer.sources.pcap import read_pcap
-
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 500").orderBy("event_id").select(F.unix_seconds(F.col("ts").cast("timestamp")), "user_id").collect()
-    frame = lambda u: bytes(12) + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 20, 0, 0, 64, 17, 0) + bytes([10, 0, u % 256, 1, 8, 8, 8, 8])
-    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", t, 0, 34, 34) + frame(u) for t, u in rows)
-    path = Path(_scratch(spark, "pcap"), "events.pcap")
-    path.write_bytes(data)
-    return read_pcap(spark, str(path)).select("packet_index", F.floor("ts").alias("seconds"), "wire_len", "ip_version", "src", "dst")
-
-
-# The same readers over all events. The queries above keep the rows that their SQL names.
+# Sources: all events are written as files, by Spark and its executors, then read with the library's readers.
 
 
 def _shared(spark: SparkSession, name: str) -> str:
@@ -485,33 +502,57 @@ def _shared(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="assayer-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 
-def write_events(spark: SparkSession, sf_dir: str, path: str, separator: str) -> None:
-    """All events as one delimited file, in order of their ids, with a padded header and NA texts; Spark writes it."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    user = F.when(F.col("user_id") % 7 == 0, "NA").otherwise(F.col("user_id").cast("string"))
-    cells = F.concat(F.lit(" "), F.col("event_id").cast("string")), F.concat(F.lit('"'), "event_type", F.lit('"')), user
-    header = spark.range(1).select(F.lit(-1).cast("long").alias("at"), F.lit(separator.join((" event id ", " type", "user_id "))).alias("value"))
-    lines = events.select(F.col("event_id").cast("long").alias("at"), F.concat_ws(separator, *cells).alias("value"))
-    header.unionByName(lines).orderBy("at").coalesce(1).select("value").write.text(path)
+def write_events(spark: SparkSession, sf_dir: str, path: str, separator: str, kind: str) -> None:
+    """All events as a folder of delimited files, in order of their ids, with padded headers, quoted cells and NA texts.
+
+    ``kind`` is SQL for the cell of the event's type.
+    """
+    cells = ["concat(' ', CAST(event_id AS STRING)) AS ` event id `", f"{kind} AS ` type`", "CASE WHEN user_id % 7 = 0 THEN 'NA' ELSE CAST(user_id AS STRING) END AS `user_id `"]
+    ordered = spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    writer = ordered.selectExpr(*cells).write.option("sep", separator).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def _scan_events(name: str, suffix: str, separator: str) -> None:
-    @query(name, """SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, CAST(event_id AS VARCHAR) AS "event id", event_type AS "type", CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_id FROM events""")
+def _scan(name: str, suffix: str, separator: str, kind: str = "{0}event_type, '{1}x'{2}") -> None:
+    spark_kind, sql_kind = kind.format("concat(", separator, ")"), kind.format("concat(", separator, ")").replace("'\\n", "chr(10) || '")
+
+    @query(name, f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, CAST(event_id AS VARCHAR) AS "event id", {sql_kind} AS "type", CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_id FROM events""")
     def fn(spark, sf_dir):
-        """All events as a delimited file, read as a table with row numbers over its splits."""
+        """All events as a folder of delimited files, read as one table with row numbers over files and splits."""
         from assayer.sources.tabular import read_tabular
 
         path = _shared(spark, f"events{suffix}")
-        write_events(spark, sf_dir, path, separator)
+        write_events(spark, sf_dir, path, separator, spark_kind)
         return read_tabular(spark, path, row_index=True)
 
 
-_scan_events("scan_csv_events", ".csv", ",")
-_scan_events("scan_tsv_events", ".tsv", "\t")
+_scan("scan_csv", ".csv", ",")
+_scan("scan_tsv", ".tsv", "\t")
+_scan("scan_csv_multiline", ".csv", ",", "{0}event_type, '\\nsecond, \"line\"'{2}")
+
+
+@query("scan_parquet", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id, user_id FROM events")
+def scan_parquet(spark, sf_dir):
+    """All events as a folder of Parquet files, read with row numbers over all files."""
+    from assayer.sources.tabular import read_tabular
+
+    path = _shared(spark, "events.parquet")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return read_tabular(spark, path, row_index=True)
+
+
+#: Of seven packets, one has no IP layer, one has no length, and two are IPv6.
+_PACKET_KIND = "event_id % 7"
+_PACKET_TIME = "CASE WHEN event_id % 31 = 0 THEN {0} - 7200 ELSE {0} - {0} % 60 END"
 
 
 def write_captures(spark: SparkSession, sf_dir: str, path: str, block: int) -> None:
@@ -524,33 +565,72 @@ def write_captures(spark: SparkSession, sf_dir: str, path: str, block: int) -> N
         import os
         import struct
 
-        frame = lambda u: bytes(12) + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 20, 0, 0, 64, 17, 0) + bytes([10, 0, u % 256, 1, 8, 8, 8, 8])
+        def frame(user: int, kind: int) -> bytes:
+            if kind == 0:
+                return b""
+            if kind == 1:
+                return bytes(12) + b"\x08\x06" + bytes(20)
+            if kind in (2, 3):
+                return bytes(12) + b"\x86\xdd" + b"\x60\0\0\0\0\0\x3b\x40" + b"\x20\x01\x0d\xb8" + bytes(11) + bytes([user % 256]) + bytes(15) + b"\x01"
+            return bytes(12) + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 20, 0, 0, 64, 17, 0) + bytes([10, 0, user % 256, 1, 8, 8, 8, 8])
+
         rows = rows.sort_values("event_id")
-        data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", t, 0, 34, 34) + frame(u) for t, u in zip(rows["seconds"].tolist(), rows["user_id"].tolist()))
+        parts = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
+        for t, u, k in zip(rows["seconds"].tolist(), rows["user_id"].tolist(), rows["kind"].tolist()):
+            data = frame(u, k)
+            parts.append(struct.pack("<IIII", t, 0, len(data), len(data)) + data)
+        data = b"".join(parts)
         file = f"{path}/{int(rows['block'].iloc[0]):012d}.pcap"
         if remote := _remote(file):
             with remote[0].open_output_stream(remote[1]) as out:
                 out.write(data)
         else:
-            file = file.removeprefix("file://")
+            file = file.removeprefix("file://").removeprefix("file:")
             os.makedirs(os.path.dirname(file), exist_ok=True)
             with open(file, "wb") as out:
                 out.write(data)
         return pd.DataFrame({"n": [len(rows)]})
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"), "user_id", F.floor(F.col("event_id") / block).alias("block"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    rows = events.selectExpr("event_id", f"{_PACKET_TIME.format('s')} AS seconds", "user_id", f"{_PACKET_KIND} AS kind", f"event_id div {block} AS block")
     rows.groupBy("block").applyInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
-@query("scan_pcap_events", "SELECT row_number() OVER (PARTITION BY event_id // 2048 ORDER BY event_id) - 1 AS packet_index, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, 34 AS wire_len, 4 AS ip_version, concat('10.0.', user_id % 256, '.1') AS src, '8.8.8.8' AS dst FROM events")
-def scan_pcap_events(spark, sf_dir):
-    """All events as captures of 2,048 ids each, read as a folder; packets are numbered within their capture."""
+_PACKETS = f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS packet_index, {_PACKET_TIME.format("s")} AS seconds, CASE WHEN k = 0 THEN 0 WHEN k IN (2, 3) THEN 54 ELSE 34 END AS wire_len,
+  CASE WHEN k < 2 THEN NULL WHEN k IN (2, 3) THEN 6 ELSE 4 END AS ip_version, CASE WHEN k < 2 THEN NULL WHEN k IN (2, 3) THEN concat('2001:db8::', printf('%x', user_id % 256)) ELSE concat('10.0.', user_id % 256, '.1') END AS src,
+  CASE WHEN k < 2 THEN NULL WHEN k IN (2, 3) THEN '::1' ELSE '8.8.8.8' END AS dst FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s, {_PACKET_KIND} AS k FROM events)"""
+
+
+def captures(spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> DataFrame:
+    """All events as captures of 2,048 ids each, read as a folder, in ranges of 16 KB."""
     from assayer.sources.pcap import read_pcap
 
     path = _shared(spark, "captures")
     write_captures(spark, sf_dir, path, 2048)
-    return read_pcap(spark, path).select("packet_index", F.floor("ts").alias("seconds"), "wire_len", "ip_version", "src", "dst")
+    return read_pcap(spark, path, columns, 1 << 14)
+
+
+@query("scan_pcap", _PACKETS.replace("concat('2001:db8::', printf('%x', user_id % 256))", "CASE WHEN user_id % 256 = 0 THEN '2001:db8::' ELSE concat('2001:db8::', printf('%x', user_id % 256)) END"))
+def scan_pcap(spark, sf_dir):
+    """Packets numbered over all captures of a folder."""
+    return captures(spark, sf_dir, ("packet_index", "ts", "wire_len", "ip_version", "src", "dst")).withColumn("ts", F.floor("ts")).withColumnRenamed("ts", "seconds")
+
+
+@query("timestamp_coherence_captures", f"""SELECT count(*) AS packet_count, arg_min(t, i) AS first_timestamp, arg_max(t, i) AS last_timestamp, count_if(d < 0) AS backwards_jump_count, count_if(d = 0) AS zero_delta_count,
+  count_if(d > 600) AS large_gap_count, count_if(d >= 0) AS gap_count, CAST(sum(CASE WHEN d >= 0 THEN d END) AS BIGINT) AS gap_sum, max(CASE WHEN d >= 0 THEN d END) AS gap_max
+  FROM (SELECT packet_index AS i, seconds AS t, seconds - lag(seconds) OVER (ORDER BY packet_index) AS d FROM ({_PACKETS}))""")
+def timestamp_coherence_captures(spark, sf_dir):
+    """Several captures as one sequence, with jumps back, repeats and gaps."""
+    packets = captures(spark, sf_dir, ("packet_index", "ts")).withColumn("ts", F.floor("ts"))
+    return gap_facts(packets, threshold=600, chunk=1000)
+
+
+@query("protocol_validity_captures", f"""SELECT count(*) AS packet_count, count_if(wire_len = 0) AS zero_length_packet_count, count_if(wire_len > 0) AS valid_packet_count, count(ip_version) AS checked_row_count, CAST(0 AS BIGINT) AS invalid_row_count,
+  {", ".join(f"CAST(0 AS BIGINT) AS {f}_missing, count_if(ip_version = 4) AS {f}_ipv4, count_if(ip_version = 6) AS {f}_ipv6, CAST(0 AS BIGINT) AS {f}_invalid" for f in ("source_ip", "destination_ip"))} FROM ({_PACKETS})""")
+def protocol_validity_captures(spark, sf_dir):
+    """Packets of both families, without IP layer and without length."""
+    df = captures(spark, sf_dir, ("packet_index", "wire_len", "ip_version", "src", "dst"))
+    return build_metric(df, {"metric_id": "protocol_validity_profile"}).counts(df)
 
 
 # An outcome of each layout; one row each, so that SQL can state the flattened relations as literals.

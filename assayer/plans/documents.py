@@ -7,39 +7,39 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from assayer.sources.files import beside, folder_of, given, read_text
+
 #: Rank of metrics that a taxonomy doesn't list.
 UNRANKED = 10**9
 
 
 @dataclass
 class Case:
+    """``dataset`` and ``output`` are local paths, or URIs as text."""
+
     plan: dict
-    dataset: Path
-    output: Path
+    dataset: str | Path
+    output: str | Path
     case_id: str
 
 
-def _load(path: Path):
-    return json.loads(path.read_text(encoding="utf-8"))
-
-
-def beside(base: Path, path: str) -> Path:
-    """A path relative to the folder of the document that names it."""
-    p = Path(path)
-    return p if p.is_absolute() else (base / p).resolve()
-
+def load_case(document: str | Path, dataset: str | None = None, output: str | None = None, case_id: str = "ad_hoc_case", spark: SparkSession | None = None) -> Case:
+    """A case document, or a plan document with dataset and output given apart. ValueError for others.
 
-def load_case(document: Path, dataset: str | None = None, output: str | None = None, case_id: str = "ad_hoc_case") -> Case:
-    """A case document, or a plan document with dataset and output given apart. ValueError for others."""
-    document = Path(document).resolve()
-    data = _load(document)
+    Paths in a document are relative to its folder. All may be URIs of any store that Spark reaches; a
+    document at a URI needs a session.
+    """
+    document = given(document) if isinstance(document, str) else document.resolve()
+    data = json.loads(read_text(document, spark))
     if {"test_plan", "dataset", "output"} <= data.keys():
-        at = lambda part: beside(document.parent, data[part]["path"])
-        return Case(_load(at("test_plan")), at("dataset"), at("output"), data["case_id"])
+        at = lambda part: beside(folder_of(document), data[part]["path"])
+        return Case(json.loads(read_text(at("test_plan"), spark)), at("dataset"), at("output"), data.get("case_id", "unknown_case"))
     if {"metrics", "plan_meta"} <= data.keys():
         if not dataset or not output:
             raise ValueError("A plan needs --dataset and --output")
-        return Case(data, Path(dataset).expanduser().resolve(), Path(output).expanduser().resolve(), case_id)
+        return Case(data, given(dataset), given(output), case_id)
     raise ValueError("Neither a case nor a plan document")
 
 
@@ -85,8 +85,8 @@ def taxonomy_ranks(taxonomy: dict) -> dict[str, int]:
     return out
 
 
-def load_ranks(path: Path) -> dict[str, int]:
-    return taxonomy_ranks(_load(Path(path).expanduser().resolve()))
+def load_ranks(path: str | Path, spark: SparkSession | None = None) -> dict[str, int]:
+    return taxonomy_ranks(json.loads(read_text(given(str(path)), spark)))
 
 
 def order_metrics(metrics: list[dict], ranks: dict[str, int], strict: bool = False) -> list[dict]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.sources.files import write_text
+
 # The relations' columns behind the four that identify an outcome.
 IDS = ("file_name", "case_id", "plan_id", "dataset_path")
 COLUMN_QUALITY = {"field_count": "long", "usable_field_count": "long", "constant_field_count": "long", "missing_field_count": "long", "mean_non_null_ratio": "double", "mean_numeric_non_null_ratio": "double", "mean_unique_ratio": "double", "quality_score": "double"}
@@ -94,11 +96,11 @@ RELATIONS = {
 
 
 def export(spark: SparkSession, folder: str, target: str) -> None:
-    """Write the seven relations as ``<target>/<relation>.csv``, rows by file name (outcomes are few, each relation small)."""
-    from pathlib import Path
+    """Write the seven relations as ``<target>/<relation>.csv``, rows by file name (outcomes are few, each relation small).
 
+    Both folders may be URIs.
+    """
     outcomes = read_outcomes(spark, folder).cache()
-    Path(target).mkdir(parents=True, exist_ok=True)
     for name, make in RELATIONS.items():
-        make(outcomes).orderBy("file_name").toPandas().to_csv(Path(target, f"{name}.csv"), index=False)
+        write_text(spark, f"{target.rstrip('/')}/{name}.csv", make(outcomes).orderBy("file_name").toPandas().to_csv(index=False))
     outcomes.unpersist()

@@ -26,7 +26,8 @@ from assayer.operators.base import Metric, Rejected
 from assayer.plans.documents import Case, check_plan, load_case, load_ranks, order_metrics, plan_tree, result_tree, results_tree, tree_lines
 from assayer.plans.progress import run_lines, task_share
 from assayer.plans.registry import build_metric
-from assayer.sources.pcap import CAPTURES, read_pcap
+from assayer.sources.files import write_text
+from assayer.sources.pcap import CAPTURES, COLUMNS, read_pcap
 from assayer.sources.tabular import ROW_INDEX, read_tabular, suffix
 
 #: Counters of one aggregation; more would outgrow the size of generated code.
@@ -82,10 +83,15 @@ def finish_metric(df: DataFrame, metric: Metric, counters: dict) -> dict:
     return metric.finish(counters, tables, examples)
 
 
-def load_dataset(spark: SparkSession, path: str | Path, row_index: bool = True) -> DataFrame:
-    """Packets of a capture, or a tabular dataset with row numbers."""
-    if suffix(str(path)) in CAPTURES:
-        return read_pcap(spark, str(path))
+def load_dataset(spark: SparkSession, path: str | Path, row_index: bool = True, metrics: list[dict] | None = None) -> DataFrame:
+    """Packets of a capture or of a folder of captures, or a tabular dataset with row numbers.
+
+    Of packets only the columns that the metrics need are parsed.
+    """
+    kind = suffix(str(path))
+    if kind in CAPTURES or not kind:
+        alone = metrics is not None and all(m["metric_id"] == "timestamp_coherence_profile" for m in metrics)
+        return read_pcap(spark, str(path), ("packet_index", "ts") if alone else COLUMNS[1:])
     return read_tabular(spark, str(path), row_index)
 
 
@@ -230,9 +236,10 @@ def run_case(spark: SparkSession, case: Case, ranks: dict[str, int] | None = Non
     started, clock = _now(), time.perf_counter()
     df, error = None, None
     try:
-        df = load_dataset(spark, case.dataset)
+        df = load_dataset(spark, case.dataset, metrics=metrics)
     except Exception as e:
-        error = f"Failed to load dataset: {e}"
+        lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+        error = f"Failed to load dataset: {next((x for x in lines if x.startswith(('ValueError', 'FileNotFoundError'))), lines[0] if lines else type(e).__name__)}"
     fail_fast = case.plan.get("execution_policy", {}).get("fail_fast", True)
     status, records, results, validations = run_metrics(spark, df, metrics, fail_fast, workers, control, report, error)
     outcome = {
@@ -243,8 +250,7 @@ def run_case(spark: SparkSession, case: Case, ranks: dict[str, int] | None = Non
     }
     if validations:
         outcome["column_validations"] = validations
-    case.output.parent.mkdir(parents=True, exist_ok=True)
-    case.output.write_text(json.dumps(outcome, indent=2, default=str), encoding="utf-8")
+    write_text(spark, case.output, json.dumps(outcome, indent=2, default=str))
     return outcome
 
 
@@ -259,10 +265,10 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--workers", type=int)
     parser.add_argument("--master")
     args = parser.parse_args(argv)
-    case = load_case(Path(args.case), args.dataset, args.output, args.case_id)
-    ranks = load_ranks(Path(args.taxonomy_file)) if args.taxonomy_file else None
-    builder = SparkSession.builder.appName(case.case_id).config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR")
+    builder = SparkSession.builder.appName("assayer").config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR")
     spark = (builder.master(args.master) if args.master else builder).getOrCreate()
+    case = load_case(args.case, args.dataset, args.output, args.case_id, spark)
+    ranks = load_ranks(args.taxonomy_file, spark) if args.taxonomy_file else None
     control = Control()
     control.install()
     enabled = [m for m in case.plan.get("metrics", []) if m.get("enabled", True)]

@@ -1,28 +1,36 @@
-"""Packet captures as a Spark data source: ``spark.read.format("pcap").load(path)``.
+"""Packet captures: pcap files of both byte orders with micro- or nanoseconds, and pcapng.
 
-One row a packet: packet_index, ts (epoch seconds), wire_len, ip_version, src, dst. pcap files of both
-byte orders with micro- or nanoseconds and pcapng are read. A file is one partition; many files read in
-parallel. The stream reader takes a folder's files as they appear.
+:func:`read_pcap` reads a file, a folder or a glob in two passes. The first walks over the record headers
+of each file and cuts it into ranges that start at a record; the second parses the ranges, only what the
+wanted columns need. So one large capture is read by many tasks, and packets are numbered over all files,
+in the order of the files' names. The data source ``pcap`` (batch and stream) reads a file a task.
 """
 
 from __future__ import annotations
 
 import glob
 import ipaddress
+import json
 import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 CAPTURES = (".pcap", ".pcapng", ".cap")
-SCHEMA = "packet_index long, ts double, wire_len int, ip_version int, src string, dst string"
+SCHEMA = "file string, packet_index long, ts double, wire_len int, ip_version int, src string, dst string"
+COLUMNS = tuple(c.split()[0] for c in SCHEMA.split(", "))
+#: Bytes of a range, of one read, and packets of one batch.
+RANGE, STRETCH, BATCH = 64 << 20, 4 << 20, 1 << 16
 
 # Capture file magics, link types and EtherTypes.
 PCAP_MAGICS = {0xA1B2C3D4: 1e6, 0xA1B23C4D: 1e9}
 PCAPNG_MAGIC, BYTE_ORDER_MAGIC = 0x0A0D0D0A, 0x1A2B3C4D
+INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET = 1, 2, 3, 6
 LINK_NULL, LINK_ETHERNET, LINK_RAW_OLD, LINK_RAW, LINK_LINUX_SLL, LINK_IPV4, LINK_IPV6, LINK_SLL2 = 0, 1, 12, 101, 113, 228, 229, 276
 ETHER_IPV4, ETHER_IPV6, ETHER_VLANS = 0x0800, 0x86DD, (0x8100, 0x88A8, 0x9100)
 IP_IN_IP, IPV6_EXTENSIONS = 4, (0, 43, 60)
@@ -45,57 +53,74 @@ def _network_layer(link: int, data: bytes) -> tuple[int, int]:
     return at, {4: ETHER_IPV4, 6: ETHER_IPV6}.get(version, 0)
 
 
+@lru_cache(1 << 16)
+def _shown(address: bytes) -> str:
+    return str(ipaddress.ip_address(address))
+
+
 def addresses(link: int, data: bytes) -> tuple[int | None, str | None, str | None]:
     """(version, source, destination) of the first IPv4 header, nested in IPv6 or not, else of the first IPv6 header."""
     at, kind = _network_layer(link, data)
     if kind == ETHER_IPV4 and len(data) >= at + 20:
-        return 4, str(ipaddress.IPv4Address(data[at + 12 : at + 16])), str(ipaddress.IPv4Address(data[at + 16 : at + 20]))
+        return 4, _shown(data[at + 12 : at + 16]), _shown(data[at + 16 : at + 20])
     if kind != ETHER_IPV6 or len(data) < at + 40:
         return None, None, None
-    outer = 6, str(ipaddress.IPv6Address(data[at + 8 : at + 24])), str(ipaddress.IPv6Address(data[at + 24 : at + 40]))
+    outer = 6, _shown(data[at + 8 : at + 24]), _shown(data[at + 24 : at + 40])
     following, at = data[at + 6], at + 40
     while following in IPV6_EXTENSIONS and len(data) >= at + 8:
         following, at = data[at], at + 8 * (data[at + 1] + 1)
     if following == IP_IN_IP and len(data) >= at + 20:
-        return 4, str(ipaddress.IPv4Address(data[at + 12 : at + 16])), str(ipaddress.IPv4Address(data[at + 16 : at + 20]))
+        return 4, _shown(data[at + 12 : at + 16]), _shown(data[at + 16 : at + 20])
     return outer
 
 
-def _exact(file, n: int) -> bytes | None:
-    """``n`` bytes, None at the file's end, ValueError if it is cut short."""
-    data = file.read(n)
-    if data and len(data) < n:
-        raise ValueError("the capture is cut short")
-    return data or None
-
+class _Bytes:
+    """A file by position, read ahead in stretches."""
 
-def read_packets(path: str) -> Iterator[tuple]:
-    """The packets of one capture file, in file order. ValueError for damaged or foreign files."""
-    with _open(path) as file:
-        head = file.read(4)
-        if len(head) < 4:
-            raise ValueError("not a capture file")
-        if int.from_bytes(head, "little") == PCAPNG_MAGIC:
-            yield from _pcapng(file)
-            return
-        for order in "<>":
-            ticks = PCAP_MAGICS.get(struct.unpack(f"{order}I", head)[0])
-            if ticks:
-                break
-        else:
-            raise ValueError("not a capture file")
-        rest = _exact(file, 20)
-        if rest is None:
+    def __init__(self, path: str) -> None:
+        remote = _remote(path)
+        self.size = remote[0].get_file_info(remote[1]).size if remote else os.path.getsize(path.removeprefix("file://"))
+        self.file = remote[0].open_input_file(remote[1]) if remote else open(path.removeprefix("file://"), "rb", buffering=0)
+        self.start, self.data = 0, b""
+
+    def at(self, place: int, n: int) -> int:
+        """Where in ``data`` the ``n`` bytes at ``place`` are; ValueError if the file ends before."""
+        if place + n > self.size:
             raise ValueError("the capture is cut short")
-        link = struct.unpack(f"{order}I", rest[16:20])[0] & 0xFFFF
-        n = 0
-        while (record := _exact(file, 16)) is not None:
-            seconds, part, kept, wire = struct.unpack(f"{order}IIII", record)
-            data = _exact(file, kept) if kept else b""
-            if data is None:
+        if not self.start <= place or place + n > self.start + len(self.data):
+            self.file.seek(place)
+            parts, left = [], min(max(n, STRETCH), self.size - place)
+            while left and (part := self.file.read(left)):
+                parts.append(part)
+                left -= len(part)
+            self.start, self.data = place, b"".join(parts)
+            if len(self.data) < n:
                 raise ValueError("the capture is cut short")
-            yield (n, seconds + part / ticks, wire, *addresses(link, data))
-            n += 1
+        return place - self.start
+
+    def take(self, place: int, n: int) -> bytes:
+        at = self.at(place, n)
+        return self.data[at : at + n]
+
+    def __enter__(self) -> _Bytes:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
+def _head(b: _Bytes) -> tuple[dict, int]:
+    """What a reader of records must know, and where the first record is. ValueError for foreign files."""
+    if b.size < 4:
+        raise ValueError("not a capture file")
+    magic = b.take(0, 4)
+    if int.from_bytes(magic, "little") == PCAPNG_MAGIC:
+        return {"order": "<", "links": [], "blocks": True}, 0
+    for order in "<>":
+        if ticks := PCAP_MAGICS.get(struct.unpack(f"{order}I", magic)[0]):
+            link = struct.unpack(f"{order}I", b.take(20, 4))[0] & 0xFFFF
+            return {"order": order, "links": [[link, ticks]], "blocks": False}, 24
+    raise ValueError("not a capture file")
 
 
 def _options(data: bytes, order: str) -> dict[int, bytes]:
@@ -109,35 +134,94 @@ def _options(data: bytes, order: str) -> dict[int, bytes]:
     return out
 
 
-def _pcapng(file) -> Iterator[tuple]:
-    file.seek(0)
-    order, n = "<", 0
-    links: list[tuple[int, float]] = []
-    while (head := _exact(file, 8)) is not None:
-        kind = struct.unpack(f"{order}I", head[:4])[0]
+def _records(b: _Bytes, state: dict, place: int, stop: int) -> Iterator[tuple[int, float, int, int, int, int]]:
+    """(end, ts, wire length, link, place of the data, its length) of the packets that start before ``stop``.
+
+    ``state`` follows the section and interface blocks that are passed, so it can start a later range.
+    """
+    if not state["blocks"]:
+        (link, ticks), order = state["links"][0], state["order"]
+        read = struct.Struct(f"{order}IIII").unpack_from
+        while place < stop:
+            at = b.at(place, 16)
+            seconds, part, kept, wire = read(b.data, at)
+            end = place + 16 + kept
+            if end > b.size:
+                raise ValueError("the capture is cut short")
+            yield end, seconds + part / ticks, wire, link, place + 16, kept
+            place = end
+        return
+    while place < stop:
+        order = state["order"]
+        kind, size = struct.unpack(f"{order}II", b.take(place, 8))
         if kind == PCAPNG_MAGIC:
-            magic = _exact(file, 4) or b""
-            order = "<" if magic == struct.pack("<I", BYTE_ORDER_MAGIC) else ">"
-            size, links = struct.unpack(f"{order}I", head[4:])[0], []
-            body = magic + (_exact(file, size - 12) or b"")
-        else:
-            size = struct.unpack(f"{order}I", head[4:])[0]
-            body = _exact(file, size - 8) or b""
-        if size < 12 or len(body) < size - 8:
+            order = state["order"] = "<" if b.take(place + 8, 4) == struct.pack("<I", BYTE_ORDER_MAGIC) else ">"
+            size, state["links"] = struct.unpack(f"{order}I", b.take(place + 4, 4))[0], []
+        end, body = place + size, place + 8
+        if size < 12 or end > b.size:
             raise ValueError("the capture is cut short")
-        body = body[:-4]
-        if kind == 1:
-            unit = _options(body[8:], order).get(9, b"\x06")[0]
-            links.append((struct.unpack_from(f"{order}H", body)[0], 2.0 ** (unit & 127) if unit & 128 else 10.0**unit))
-        elif kind == 6:
-            port, high, low, kept, wire = struct.unpack_from(f"{order}IIIII", body)
-            link, ticks = links[port]
-            yield (n, ((high << 32) | low) / ticks, wire, *addresses(link, body[20 : 20 + kept]))
-            n += 1
-        elif kind == 3 and links:
-            wire = struct.unpack_from(f"{order}I", body)[0]
-            yield (n, 0.0, wire, *addresses(links[0][0], body[4 : 4 + wire]))
+        if kind == INTERFACE:
+            data = b.take(body, size - 12)
+            unit = _options(data[8:], order).get(9, b"\x06")[0]
+            state["links"].append([struct.unpack_from(f"{order}H", data)[0], 2.0 ** (unit & 127) if unit & 128 else 10.0**unit])
+        elif kind in (PACKET, OLD_PACKET):
+            port, high, low, kept, wire = struct.unpack(f"{order}IIIII" if kind == PACKET else f"{order}HxxIIII", b.take(body, 20))
+            if port >= len(state["links"]) or kept > size - 32:
+                raise ValueError("a packet of no interface, or longer than its block")
+            link, ticks = state["links"][port]
+            yield end, ((high << 32) | low) / ticks, wire, link, body + 20, kept
+        elif kind == SIMPLE_PACKET and state["links"]:
+            wire = struct.unpack(f"{order}I", b.take(body, 4))[0]
+            yield end, 0.0, wire, state["links"][0][0], body + 4, min(wire, size - 16)
+        place = end
+
+
+def ranges(path: str, size: int = RANGE) -> Iterator[tuple[str, int, int, int, int, str]]:
+    """(file, start, stop, first packet's number, packets, state) of the ranges of about ``size`` bytes of one file.
+
+    Every record header is passed, so a damaged file raises ValueError here. A file without packets has one range.
+    """
+    with _Bytes(path) as b:
+        state, start = _head(b)
+        known, first, n, end = json.dumps(state), 0, 0, start
+        for end, *_ in _records(b, state, start, b.size):
             n += 1
+            if end - start >= size:
+                yield path, start, end, first, n, known
+                start, first, n, known = end, first + n, 0, json.dumps(state)
+        if n or not first:
+            yield path, start, b.size, first, n, known
+
+
+def _batches(path: str, start: int, stop: int, first: int, state: str, columns: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """The wanted columns of a range's packets, in batches; data is looked at only for addresses."""
+    look = bool({"ip_version", "src", "dst"} & set(columns))
+    with _Bytes(path) as b:
+        found = _records(b, json.loads(state), start, stop)
+        while True:
+            out: dict[str, list] = {c: [] for c in ("ts", "wire_len", "ip_version", "src", "dst")}
+            for _, ts, wire, link, place, kept in found:
+                out["ts"].append(ts)
+                out["wire_len"].append(wire)
+                if look:
+                    for c, v in zip(("ip_version", "src", "dst"), addresses(link, b.take(place, min(kept, 512)) if kept else b"")):
+                        out[c].append(v)
+                if len(out["ts"]) >= BATCH:
+                    break
+            n = len(out["ts"])
+            if not n:
+                return
+            yield {"file": [path] * n if "file" in columns else [], "packet_index": list(range(first, first + n)), **out}
+            first += n
+
+
+def read_packets(path: str) -> Iterator[tuple]:
+    """(packet_index, ts, wire_len, ip_version, src, dst) of one capture, in file order. ValueError for damaged or foreign files."""
+    with _Bytes(path) as b:
+        state, start = _head(b)
+        size = b.size
+    for batch in _batches(path, start, size, 0, json.dumps(state), COLUMNS):
+        yield from zip(*[batch[c] for c in COLUMNS[1:]])
 
 
 def _remote(path: str):
@@ -149,13 +233,8 @@ def _remote(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _open(path: str):
-    remote = _remote(path)
-    return remote[0].open_input_file(remote[1]) if remote else open(path.removeprefix("file://"), "rb")
-
-
-def _files(path: str) -> list[str]:
-    """The captures a path names: a file, a folder's captures, or (locally) a glob."""
+def capture_files(path: str) -> list[str]:
+    """The captures a path names, by name: a file, a folder's captures, or (locally) a glob."""
     if remote := _remote(path):
         from pyarrow import fs
 
@@ -165,8 +244,8 @@ def _files(path: str) -> list[str]:
         return sorted(f"{path.rstrip('/')}/{n}" for n in names if n.endswith(CAPTURES))
     path = path.removeprefix("file://")
     if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if p.endswith(CAPTURES))
-    found = sorted(glob.glob(path))
+        return sorted(p for p in glob.glob(os.path.join(glob.escape(path), "*")) if p.endswith(CAPTURES))
+    found = [path] if os.path.exists(path) else sorted(glob.glob(path))
     if not found:
         raise FileNotFoundError(path)
     return found
@@ -182,33 +261,44 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        return [_File(p) for p in _files(self.path)]
+        return [_File(p) for p in capture_files(self.path)]
 
     def read(self, partition):
-        yield from read_packets(partition.path)
+        for row in read_packets(partition.path):
+            yield (partition.path, *row)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """A folder's files in name order, one partition each; the offset is the last file's name."""
+    """A folder's files as they appear, one partition each.
+
+    The offset lists the names of the files seen, whatever their order, as Spark's own file stream logs
+    them. A file must appear whole: moved in under its name.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path
 
+    def _files(self) -> dict[str, str]:
+        return {p.rsplit("/", 1)[-1]: p for p in capture_files(self.path)}
+
     def initialOffset(self):
-        return {"after": ""}
+        return {"seen": []}
 
     def latestOffset(self):
-        files = _files(self.path)
-        return {"after": files[-1] if files else ""}
+        return {"seen": sorted(self._files())}
 
     def partitions(self, start, end):
-        return [_File(p) for p in _files(self.path) if start["after"] < p <= end["after"]]
+        files = self._files()
+        return [_File(files[n]) for n in sorted(set(end["seen"]) - set(start["seen"]))]
 
     def read(self, partition):
-        yield from read_packets(partition.path)
+        for row in read_packets(partition.path):
+            yield (partition.path, *row)
 
 
 class PcapSource(DataSource):
+    """``packet_index`` is the packet's place in its ``file``."""
+
     @classmethod
     def name(cls):
         return "pcap"
@@ -223,7 +313,45 @@ class PcapSource(DataSource):
         return _StreamReader(self.options["path"])
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """The packets of a capture file, a folder or a glob of files."""
+def read_pcap(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS[1:], range_bytes: int = RANGE) -> DataFrame:
+    """The packets of a capture file, a folder or a glob of files, numbered over all files by name.
+
+    The ranges of all files come to the driver, one row for each ``range_bytes``, as Spark's own file
+    index holds a split for each. A damaged file raises here, before anything is read. Registers the data source too.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark.dataSource.register(PcapSource)
-    return spark.read.format("pcap").load(path)
+    wanted = T.StructType([f for f in T.StructType.fromDDL(SCHEMA).fields if f.name in columns])
+    files = capture_files(path)
+    if not files:
+        return spark.createDataFrame([], wanted)
+
+    def walk(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows = list(zip(*ranges(name, range_bytes)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["file", "start", "stop", "first", "packets", "state"])
+
+    found = _one_a_task(spark, [(f,) for f in files], "file string").mapInArrow(walk, "file string, start long, stop long, first long, packets long, state string").collect()
+    rows, base = [], 0
+    for r in sorted(found):
+        rows.append((r["file"], r["start"], r["stop"], base, r["state"]))
+        base += r["packets"]
+    target = to_arrow_schema(wanted)
+
+    def parse(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                for part in _batches(*row.values(), tuple(columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) for f in target], schema=target)
+
+    return _one_a_task(spark, rows, "file string, start long, stop long, first long, state string").mapInArrow(parse, wanted)
+
+
+def _one_a_task(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows, each in a partition of its own."""
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"at int, {schema}")
+    return numbered.repartitionById(len(rows), F.col("at")).drop("at")

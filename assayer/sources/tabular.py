@@ -1,7 +1,8 @@
 """Tabular files as DataFrames of text, with literal column names and optional row numbers.
 
 CSV and TSV are read as text throughout: no inference pass, no type that depends on where a file is
-split. Parquet keeps its types. ``row_index`` is the zero-based place of a row in its file.
+split. Parquet keeps its types. ``row_index`` is the zero-based place of a row in its file, or over all
+files of a folder in the order of their paths.
 """
 
 from __future__ import annotations
@@ -39,37 +40,52 @@ def distinct_names(cells: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",", row_index: bool = False, multi_line: bool = False) -> DataFrame:
-    """A delimited text file with a header line: quoted cells, blanks after separators skipped, NA texts as NULL.
+def open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether any line ends within a quoted cell, so that the next one belongs to the same row.
 
-    Rows with too few cells end in NULLs; surplus cells are dropped. With ``row_index`` the rows are
-    numbered in file order. ``multi_line`` allows newlines in quoted cells, at the price of one task a file.
+    The first such line of a file has an odd number of quotes. One pass over the text, ended by a find.
     """
+    lines = spark.read.text(path)
+    return bool(lines.filter((F.length("value") - F.length(F.translate("value", '"', ""))) % 2 == 1).limit(1).collect())
+
+
+def read_delimited(spark: SparkSession, path: str, separator: str = ",", row_index: bool = False, multi_line: bool | None = None) -> DataFrame:
+    """A delimited text file, or a folder of files alike, each with a header line: quoted cells, blanks after separators skipped, NA texts as NULL.
+
+    Rows with too few cells end in NULLs; a row with a cell too many fails the query that reads it (a
+    surplus blank cell is let pass). With ``row_index`` the rows are numbered in file order. ``multi_line``
+    allows newlines in quoted cells, at the price of one task a file; None looks for them first, at the
+    price of one more pass over the text.
+    """
+    if multi_line is None:
+        multi_line = open_quotes(spark, path)
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError(f"No header line in {path}")
-    header = next(csv.reader([first[0][0].lstrip("﻿")], delimiter=separator, skipinitialspace=True))
+    header = next(csv.reader([first[0][0].lstrip("\ufeff")], delimiter=separator, skipinitialspace=True))
     names = distinct_names(header)
-    plain = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    plain = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
     reader = spark.read.schema(plain).option("sep", separator).option("header", True).option("enforceSchema", True)
     df = reader.option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("multiLine", multi_line).csv(path)
+    surplus = F.col(f"_c{len(names)}")
+    whole = F.when(surplus.isNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"A row of {path} has more than {len(names)} cells; the first too many is "), surplus)).cast("boolean"))
     cells = [na_to_null(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)]
     if not row_index:
-        return df.select(*cells)
-    return number_rows(df.select(F.monotonically_increasing_id().alias("__at"), *cells))
+        return df.filter(whole).select(*cells)
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("__split")
+    return number_rows(df.select(split, F.monotonically_increasing_id().alias("__at"), whole.alias("__whole"), *cells).filter("__whole").drop("__whole"))
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    """``row_index`` from ``__at``, an increasing but gappy number: exact counts per partition shift each partition's own count.
+    """``row_index`` from ``__split`` (file and start) and ``__at``, which increases by one within a split.
 
-    The partition number is in the upper bits of ``__at``, the row's place in the lower 33.
+    Exact counts per split, in the order of files and starts, shift each split's own count. The window
+    is over one row a split.
     """
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = df.select(part.alias("__p")).groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__p", before.alias("__off"))
-    joined = df.withColumn("__p", part).join(offsets, "__p")
-    return joined.withColumn(ROW_INDEX, F.col("__off") + place).drop("__p", "__off", "__at")
+    counts = df.groupBy("__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__split", (before - F.col("__first")).alias("__off"))
+    return df.join(offsets, "__split").withColumn(ROW_INDEX, F.col("__off") + F.col("__at")).drop("__split", "__off", "__at")
 
 
 def read_sheet(spark: SparkSession, path: str, row_index: bool = False) -> DataFrame:
@@ -98,5 +114,10 @@ def read_tabular(spark: SparkSession, path: str, row_index: bool = False) -> Dat
     if kind == ".parquet":
         df = spark.read.parquet(path)
         df = df.toDF(*distinct_names(df.columns))
-        return df.withColumn(ROW_INDEX, F.col("_metadata.row_index")) if row_index and ROW_INDEX not in df.columns else df
+        if not row_index or ROW_INDEX in df.columns:
+            return df
+        if len(spark.read.parquet(path).inputFiles()) == 1:
+            return df.withColumn(ROW_INDEX, F.col("_metadata.row_index"))
+        placed = spark.read.parquet(path).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("start")).alias("__split"), F.col("_metadata.row_index").alias("__at"))
+        return number_rows(placed.toDF(*df.columns, "__split", "__at"))
     raise ValueError(f"Unsupported dataset format: {kind or path}")

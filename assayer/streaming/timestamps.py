@@ -36,9 +36,9 @@ def merge_folds(a: dict, b: dict, threshold: float) -> dict:
 
 
 class CoherenceFold:
-    """The running fold, kept in a JSON file."""
+    """The running fold, kept in a JSON file. Packets of a batch are ordered by file, if they name one, then number."""
 
-    def __init__(self, path: str, threshold: float = 1.0, order: str = "packet_index", ts: str = "ts") -> None:
+    def __init__(self, path: str, threshold: float = 1.0, order: str | list[str] | None = None, ts: str = "ts") -> None:
         self.path, self.threshold, self.order, self.ts = Path(path), threshold, order, ts
 
     def state(self) -> dict:
@@ -48,7 +48,8 @@ class CoherenceFold:
         state = self.state()
         if number <= state["batch"]:
             return
-        facts = gap_facts(batch, self.order, self.ts, self.threshold).first().asDict()
+        order = self.order or [c for c in ("file", "packet_index") if c in batch.columns]
+        facts = gap_facts(batch, order, self.ts, self.threshold).first().asDict()
         facts["gap_sum"] = facts["gap_sum"] or 0.0
         state = {"batch": number, "fold": merge_folds(state["fold"], facts, self.threshold)}
         part = self.path.with_suffix(".part")

@@ -33,6 +33,57 @@ def test_row_numbers_follow_the_file_over_many_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("name, sep", [("m.csv", ","), ("m.tsv", "\t")])
+def test_newlines_in_quoted_cells(spark, tmp_path, name, sep):
+    path = tmp_path / name
+    path.write_text(sep.join(["a", "b"]) + f'\n1{sep}"x\ny, ""z"""\n2{sep}it"s\n"3"{sep}"\n"\n4{sep}last\n')
+    rows = sorted(read_tabular(spark, str(path), True).select("row_index", "a", "b").collect())
+    assert [tuple(r) for r in rows] == [(0, "1", 'x\ny, "z"'), (1, "2", 'it"s'), (2, "3", "\n"), (3, "4", "last")]
+
+
+def test_surplus_cells_fail(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("a,b\n1,2\n3\n4,5,\n")
+    assert [(r["a"], r["b"]) for r in read_tabular(spark, str(path)).collect()] == [("1", "2"), ("3", None), ("4", "5")]
+    path.write_text("a,b\n1,2\n3,4,five\n")
+    for row_index in (False, True):
+        with pytest.raises(Exception, match="more than 2 cells.*five"):
+            read_tabular(spark, str(path), row_index).select("a").collect()
+
+
+def test_rows_of_folders_are_numbered_by_file(spark, tmp_path):
+    """Files of unlike sizes, which Spark reads largest first, in several splits."""
+    folder = tmp_path / "f.csv"
+    folder.mkdir()
+    at = 0
+    for name, n in (("a.csv", 10), ("b.csv", 3000), ("c.csv", 0), ("d.csv", 500)):
+        (folder / name).write_text("v\n" + "".join(f"{at + i:09d}\n" for i in range(n)))
+        at += n
+    spark.range(0, 3000, 1, 4).write.parquet(str(tmp_path / "p.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert read_tabular(spark, str(folder), True).filter("cast(v as long) <> row_index").count() == 0 and read_tabular(spark, str(folder), True).count() == at
+        df = read_tabular(spark, str(tmp_path / "p.parquet"), True)
+        assert df.filter("id <> row_index").count() == 0 and df.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sheets(spark, tmp_path, monkeypatch):
+    """The first sheet as text; the optional reader is stood in for, and its absence is a ValueError."""
+    import pandas as pd
+
+    def absent(*a, **k):
+        raise ImportError("no reader")
+
+    monkeypatch.setattr(pd, "read_excel", lambda path, **k: pd.DataFrame([[" a ", "b", None], [1, "x", None], [None, "NA", 2.5]], dtype=object))
+    df = read_tabular(spark, str(tmp_path / "s.xlsx"), True)
+    assert [tuple(r) for r in df.select("row_index", "a", "b", "`Unnamed: 2`").collect()] == [(0, "1", "x", None), (1, None, None, "2.5")]
+    monkeypatch.setattr(pd, "read_excel", absent)
+    with pytest.raises(ValueError, match="optional package"):
+        read_tabular(spark, str(tmp_path / "s.xls"))
+
+
 def test_other_formats(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a\tb\n1\t2\n")
     assert read_tabular(spark, str(tmp_path / "t.tsv")).first().asDict() == {"a": "1", "b": "2"}
@@ -101,6 +152,73 @@ def test_pcapng(tmp_path):
     assert list(read_packets(str(path))) == [(0, 2.5, len(frame), 4, "10.0.0.1", "8.8.4.4")]
 
 
+def test_old_packet_blocks_and_bad_interfaces(tmp_path):
+    def block(kind, body):
+        body += bytes(-len(body) % 4)
+        return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+    frame = ether(0x0800, V4)
+    head = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0))
+    old = block(2, struct.pack("<HHIIII", 0, 7, 0, 1_500_000, len(frame), 99) + frame)
+    simple = block(3, struct.pack("<I", len(frame)) + frame)
+    path = tmp_path / "c.pcapng"
+    path.write_bytes(head + old + simple)
+    assert list(read_packets(str(path))) == [(0, 1.5, 99, 4, "10.0.0.1", "8.8.4.4"), (1, 0.0, len(frame), 4, "10.0.0.1", "8.8.4.4")]
+    for bad in (block(6, struct.pack("<IIIII", 3, 0, 0, 0, 0)), block(6, struct.pack("<IIIII", 0, 0, 0, 500, 500)), block(2, b"")[:8]):
+        path.write_bytes(head + bad)
+        with pytest.raises(ValueError):
+            list(read_packets(str(path)))
+
+
+def mixed_captures(folder):
+    """A pcap of each byte order, an empty one, and a pcapng whose interfaces change between packets."""
+    def block(kind, body):
+        body += bytes(-len(body) % 4)
+        return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+    frame = ether(0x0800, V4)
+    folder.mkdir()
+    (folder / "a.pcap").write_bytes(capture(packets=[(k, 0, frame) for k in range(50)]))
+    (folder / "b.pcap").write_bytes(capture(">", packets=[(100 + k, 0, ether(0x0806, b"arp")) for k in range(30)]))
+    (folder / "c.pcap").write_bytes(capture())
+    section = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    micro, milli = block(1, struct.pack("<HHI", 1, 0, 0)), block(1, struct.pack("<HHI", 101, 0, 0) + struct.pack("<HHBxxxHH", 9, 1, 3, 0, 0))
+    packet = lambda port, t, data: block(6, struct.pack("<IIIII", port, 0, t, len(data), len(data)) + data)
+    blocks = [section, micro, *[packet(0, k * 1_000_000, frame) for k in range(200, 210)], milli, *[packet(1, k * 1000, V6) for k in range(210, 230)], section, milli, *[packet(0, k * 1000, V6) for k in range(230, 240)]]
+    (folder / "d.pcapng").write_bytes(b"".join(blocks))
+    (folder / "notes.txt").write_text("no capture")
+
+
+@pytest.mark.parametrize("size", [1, 100, 1000, 1 << 26])
+def test_ranges_give_what_whole_files_give(spark, tmp_path, size):
+    folder = tmp_path / "in"
+    mixed_captures(folder)
+    want = [p for name in ("a.pcap", "b.pcap", "c.pcap", "d.pcapng") for p in read_packets(str(folder / name))]
+    df = read_pcap(spark, str(folder), range_bytes=size)
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == [(k, *p[1:]) for k, p in enumerate(want)] and len(got) == 120
+    assert [r["ts"] for r in read_pcap(spark, f"file://{folder}", ("packet_index", "ts"), size).orderBy("packet_index").collect()] == [float(t) for t in (*range(50), *range(100, 130), *range(200, 240))]
+
+
+def test_damaged_captures_raise_before_reading(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(capture(packets=[(1, 0, b"x" * 40)])[:-1])
+    with pytest.raises(Exception, match="cut short"):
+        read_pcap(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    assert read_pcap(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_several_captures_are_one_sequence(spark, tmp_path):
+    """0 to 3 s, then 100 to 103 s: no jump back, seven gaps that add up to 103 s."""
+    from assayer.operators.timestamps import gap_facts
+
+    for name, start in (("a", 0), ("b", 100)):
+        (tmp_path / f"{name}.pcap").write_bytes(capture(packets=[(start + k, 0, b"x") for k in range(4)]))
+    whole = gap_facts(read_pcap(spark, str(tmp_path), ("packet_index", "ts"))).first()
+    by_file = gap_facts(spark.read.format("pcap").load(str(tmp_path)), ["file", "packet_index"], chunk=3).first()
+    assert whole == by_file and (whole["backwards_jump_count"], whole["gap_count"], whole["gap_sum"], whole["large_gap_count"]) == (0, 7, 103.0, 1)
+
+
 def test_pcap_source(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.pcap").write_bytes(capture(packets=[(1, 0, ether(0x0800, V4))] * 3))

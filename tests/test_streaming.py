@@ -33,16 +33,35 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream.state()["fold"]["packet_count"] == 7
 
 
-def test_capture_folder_stream(spark, tmp_path):
+def write_capture(path, times):
     import struct
 
+    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 101) + b"".join(struct.pack("<IIII", t, 0, 4, 4) + b"none" for t in times)
+    path.with_suffix(".part").write_bytes(data)
+    path.with_suffix(".part").rename(path)
+
+
+def test_capture_folder_stream(spark, tmp_path):
+    """Files are taken as they appear, also one whose name sorts before those seen; several of a batch follow each other by name."""
     from assayer.sources.pcap import PcapSource
 
     spark.dataSource.register(PcapSource)
-    for k in range(2):
-        data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 101) + struct.pack("<IIII", k, 0, 4, 4) + b"none"
-        (tmp_path / f"{k}.pcap").write_bytes(data)
-    query = spark.readStream.format("pcap").load(str(tmp_path)).writeStream.format("memory").queryName("captured").start()
-    query.processAllAvailable()
-    query.stop()
-    assert spark.table("captured").count() == 2
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = CoherenceFold(str(tmp_path / "fold.json"))
+
+    def run():
+        packets = spark.readStream.format("pcap").load(str(folder))
+        query = start_coherence(packets, stream, str(tmp_path / "checkpoint"))
+        query.processAllAvailable()
+        query.stop()
+
+    write_capture(folder / "cap8.pcap", [0, 1])
+    write_capture(folder / "cap9.pcap", [2, 2])
+    run()
+    assert stream.state()["fold"] == fold([0.0, 1.0, 2.0, 2.0])
+    write_capture(folder / "cap10.pcap", [5, 4])
+    run()
+    assert stream.state()["fold"] == fold([0.0, 1.0, 2.0, 2.0, 5.0, 4.0])
+    run()
+    assert stream.result()["packet_count"] == 6 and stream.result()["backwards_jump_count"] == 1
