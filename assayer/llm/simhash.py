@@ -45,7 +45,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id long and fp long (the fingerprint's bits as a signed long) of every row; null text is empty."""
+    """doc_id long and fp long (the fingerprint's bits as a signed long) of every row; null text is empty.
+
+    Null ids and repeated rows are kept, an empty table gives no rows. A text's shingles are hashed 65,536
+    at a time; beside them a long text takes some 100 bytes a word for its words and their places.
+    """
 
     def run(batches):
         for batch in batches:
@@ -90,7 +94,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fp long and component_id: the smallest doc_id reachable over links of ``max_bits`` bits.
 
     One row per row of ``df``. Equal fingerprints are one node, so copies cost no pairs. Null ids
-    keep their rows and are ignored as smallest id (a component of null ids only has a null id).
+    keep their rows and are ignored as smallest id (a component of null ids only has a null id). Texts without
+    words share fingerprint 0 and link like any other. An empty table gives no rows.
     """
     prints = materialize(fingerprints(df, id_col, text_col, width), "prints", spread=True)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
