@@ -1,9 +1,9 @@
 """SimHash near-dedup by deletion-variant signatures.
 
 Fingerprints that differ in at most 2 of 64 bits have, of their two 32-bit segments, one that differs
-in at most one bit. Each distinct fingerprint is indexed under every segment with one bit left out
-(32 variants) and under each whole segment; fingerprints that share an entry are joined by equality
-and verified on all 64 bits.
+in at most one bit. Each distinct fingerprint is indexed under one-wildcard variants of its segments and
+under whole ones, each with as much of the other segment as must agree then; fingerprints that share an entry are
+joined by equality and verified on all 64 bits.
 """
 
 from __future__ import annotations
@@ -61,33 +61,45 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
+def index_slots(max_bits: int) -> list[tuple[int, int | None]]:
+    """(kept bits, wildcard bit) of each entry that a fingerprint is indexed under.
+
+    Of two segments, one differs in no bit or in exactly one. What the rest of the budget leaves to the other segment
+    is asked of the entry as well: for up to 2 bits it keeps a half of that segment that agrees, or, where
+    both halves differ in a bit, its first half with a second wildcard instead. For 3 bits the segment stands alone.
+    """
+    segments = (0xFFFFFFFF, 0xFFFFFFFF << 32)
+    halves = ((0xFFFF, 0xFFFF << 16), (0xFFFF << 32, 0xFFFF << 48))
+    if max_bits == 3:
+        return [(seg, None) for seg in segments] + [(seg & ~(1 << p), p) for i, seg in enumerate(segments) for p in range(32 * i, 32 * i + 32)]
+    slots: list[tuple[int, int | None]] = [(segments[i] | half, None) for i in (0, 1) for half in halves[1 - i]]
+    if max_bits == 2:
+        slots += [(segments[1 - i] | halves[i][0] & ~(1 << p), p) for i in (0, 1) for p in range(32 * i, 32 * i + 16)]
+        slots += [(segments[0] & ~(1 << p) | half, p) for p in range(32) for half in halves[1]]
+    return slots
+
+
 def link_fingerprints(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column ``fp``) that differ in 1 to ``max_bits`` bits.
 
     64 bits are cut into the fewest segments (2 for up to 3 bits) of which one must differ by one bit
-    at most. Pairs that agree on a segment meet under the whole segment once; pairs that differ there in
-    exactly one bit meet under that bit's wildcard variant, one having the bit and the other not. So no
-    entry lists equal things twice, and an edge is found at most once per segment.
+    at most. Pairs that agree on all an entry keeps meet there; under a wildcard, one has the bit and the other
+    not. For up to 2 bits an entry keeps 47 or 48 bits, so few unlike fingerprints meet, and each edge is found
+    once: by a whole entry if one bit or half a segment differs, else by one wildcard. For 3 bits it keeps 31
+    or 32, and an edge is found at most once per segment. An empty table gives no rows.
     """
     if not 1 <= max_bits <= 3:
         raise ValueError("max_bits must be 1 to 3: two segments")
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    segments = F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))
-    rows = distinct.select("fp", F.explode(segments).alias("seg")).select("fp", "seg.s", "seg.v")
-    # An entry's key: segment and wildcard bit (32: none) above, the remaining bits below.
-    whole = F.lit(32)
-    entry = rows.select("fp", "s", "v", F.explode(F.sequence(F.lit(0), whole)).alias("p"))
-    bit = F.when(F.col("p") < whole, F.expr("(v >> p) & 1")).otherwise(F.lit(0)).cast("int")
-    masked = F.when(F.col("p") < whole, F.expr("v & ~(1L << p)")).otherwise(F.col("v"))
-    entry = entry.select("fp", F.expr("cast(s * 33 + p as int)").alias("slot"), masked.alias("rest"), bit.alias("side"))
-    is_whole = F.expr("slot % 33 = 32")
-    left = entry.filter("side = 0").select(F.col("fp").alias("a"), "slot", "rest")
-    right = entry.filter((F.col("side") == 1) | is_whole).select(F.col("fp").alias("b"), "slot", "rest")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    # Whole-segment entries hold both sides; there the smaller fingerprint is a.
-    once = ~is_whole | (F.col("a") < F.col("b"))
-    return left.join(right, ["slot", "rest"]).filter(near & once).select("a", "b")
+    slots = [F.struct(F.lit(mask - (mask >> 63 << 64)).cast("long").alias("mask"), F.lit(-1 if bit is None else bit).alias("bit")) for mask, bit in index_slots(max_bits)]
+    entry = distinct.select("fp", F.posexplode(F.array(*slots)).alias("slot", "s"))
+    rest, side = F.col("fp").bitwiseAND(F.col("s.mask")), F.expr("(fp >> s.bit) & 1")
+    wild = F.col("s.bit") >= 0
+    left = entry.filter(~wild | (side == 0)).select(F.col("fp").alias("a"), "slot", rest.alias("rest"), wild.alias("wild"))
+    right = entry.filter(~wild | (side == 1)).select(F.col("fp").alias("b"), "slot", rest.alias("rest"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    # Whole entries hold both sides; there the smaller fingerprint is a. A wildcard's pairs of one bit meet whole, too.
+    near = F.when(F.col("wild"), (apart == 2) if max_bits == 2 else (apart <= max_bits)).otherwise((apart <= max_bits) & (F.col("a") < F.col("b")))
+    return left.join(right, ["slot", "rest"]).filter(near).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:

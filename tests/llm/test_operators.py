@@ -557,13 +557,32 @@ def test_links_of_fingerprints(spark, bits):
                 p ^= 1 << rng.randrange(64)
     signed = sorted(p - 2**64 if p >> 63 else p for p in prints)
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    got = {tuple(sorted(r)) for r in link_fingerprints(df, bits).collect()}
+    found = [tuple(sorted(r)) for r in link_fingerprints(df, bits).collect()]
+    got = set(found)
+    assert bits == 3 or len(found) == len(got)  # each edge once
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= bits}
     assert got == want and want
     parts = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(sorted(got), "a long, b long")).collect()}
     assert all(parts[a] == parts[b] for a, b in want) and all(parts[c] == c <= n for n, c in parts.items())
 
 
+def test_every_place_of_two_bits_is_linked_once(spark):
+    """All fingerprints at one or two bits from a given one, and entries so narrow that a shared segment brings no pairs."""
+    from assayer.llm.simhash import index_slots, link_fingerprints
+
+    base = 0x9E3779B97F4A7C15
+    near = [base ^ 1 << i for i in range(64)] + [base ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)]
+    signed = [p - 2**64 if p >> 63 else p for p in [base, *near]]
+    found = [tuple(r) for r in link_fingerprints(spark.createDataFrame([(p,) for p in signed], "fp long"), 2).collect()]
+    to_base = [r for r in found if signed[0] in r]
+    assert len(to_base) == len(set(to_base)) == len(near) and len(found) == len({frozenset(r) for r in found})
+    slots = index_slots(2)
+    assert len(set(slots)) == len(slots) == 100 and {m.bit_count() for m, _ in slots} == {47, 48}
+    alike = sorted({base & 0xFFFFFFFF | random.Random(i).getrandbits(31) << 32 for i in range(2000)})
+    want = {(a, b) for i, a in enumerate(alike) for b in alike[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert {tuple(sorted(r)) for r in link_fingerprints(spark.createDataFrame([(p,) for p in alike], "fp long"), 2).collect()} == want
+
+
 def test_components(spark):
     from assayer.llm.components import connected_components
 
