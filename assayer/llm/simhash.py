@@ -94,12 +94,14 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     entry = distinct.select("fp", F.posexplode(F.array(*slots)).alias("slot", "s"))
     rest, side = F.col("fp").bitwiseAND(F.col("s.mask")), F.expr("(fp >> s.bit) & 1")
     wild = F.col("s.bit") >= 0
-    left = entry.filter(~wild | (side == 0)).select(F.col("fp").alias("a"), "slot", rest.alias("rest"), wild.alias("wild"))
-    right = entry.filter(~wild | (side == 1)).select(F.col("fp").alias("b"), "slot", rest.alias("rest"))
+    # One long to shuffle and sort by: a hash of slot and kept bits whose last bit tells wildcards. All bits are verified.
+    key = F.xxhash64("slot", rest).bitwiseAND(F.lit(-2)).bitwiseOR(wild.cast("long")).alias("key")
+    left = entry.filter(~wild | (side == 0)).select(F.col("fp").alias("a"), key)
+    right = entry.filter(~wild | (side == 1)).select(F.col("fp").alias("b"), key)
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     # Whole entries hold both sides; there the smaller fingerprint is a. A wildcard's pairs of one bit meet whole, too.
-    near = F.when(F.col("wild"), (apart == 2) if max_bits == 2 else (apart <= max_bits)).otherwise((apart <= max_bits) & (F.col("a") < F.col("b")))
-    return left.join(right, ["slot", "rest"]).filter(near).select("a", "b")
+    near = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, (apart == 2) if max_bits == 2 else (apart <= max_bits)).otherwise((apart <= max_bits) & (F.col("a") < F.col("b")))
+    return left.join(right, "key").filter(near).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
