@@ -20,6 +20,8 @@ from assayer.llm.common import few_files, literal_table, materialize
 FIRST, STEP, WIDTH = 3, 2, 48
 #: Most parts, and so most splitters held by the driver, however large the input.
 MAX_PARTS = 16384
+#: Beyond so many open prefixes a round takes a single digit, so that a round's counts stay under 16 * MAX_PARTS.
+WIDE_STEP = 1024
 
 
 @dataclass
@@ -41,16 +43,17 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: int, tolerance:
     """Boundaries (key prefix, bytes below, rows below), one for each target of bytes below.
 
     ``keyed`` has ``__key`` (hex digits) and ``__bytes``. Each round is one aggregation with map-side
-    partial sums; what reaches the driver is at most len(targets) * 256 counts (4,096 in the first).
+    partial sums; what reaches the driver is at most 16 counts a target, or WIDE_STEP * 256 (4,096 in the first).
     """
     marks = [_Splitter(t, mass=total) for t in targets]
     depth = 0
     open_marks = [m for m in marks if m.cut is None]
     while open_marks:
-        width = FIRST if not depth else min(STEP, WIDTH - depth)
+        open_prefixes = sorted({m.prefix for m in open_marks})
+        width = FIRST if not depth else min(STEP if len(open_prefixes) <= WIDE_STEP else 1, WIDTH - depth)
         rows_in = keyed
         if depth:
-            prefixes = literal_table(keyed.sparkSession, [{"__p": p} for p in sorted({m.prefix for m in open_marks})], "__p: string")
+            prefixes = literal_table(keyed.sparkSession, [{"__p": p} for p in open_prefixes], "__p: string")
             rows_in = keyed.withColumn("__p", F.substring("__key", 1, depth)).join(F.broadcast(prefixes), "__p", "left_semi")
         counted = rows_in.groupBy(F.substring("__key", 1, depth + width).alias("c")).agg(F.sum("__bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
         children: dict[str, list] = {}
