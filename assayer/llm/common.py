@@ -173,6 +173,21 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 16 << 20) -> Iterato
         yield batch.slice(start)
 
 
+def hidden(df: DataFrame, *used: str) -> list[Column]:
+    """The columns of ``df``, all but those ``used`` under a name of their place, so that none meets a name of the operator's own."""
+    return [F.col(quoted(c)).alias(c if c in used else f"_{i}_") for i, c in enumerate(df.columns)]
+
+
+def shown(df: DataFrame, *used: str) -> list[Column]:
+    """The columns of ``df`` under their names, of a frame that has those of :func:`hidden`."""
+    return [F.col(quoted(c)) if c in used else F.col(f"_{i}_").alias(c) for i, c in enumerate(df.columns)]
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever dots and quotes it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Text that is ASCII throughout takes the fast path, with the same result."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import WHITE, ascii_lower, hash128, materialize, salted, with_salt
+from assayer.llm.common import WHITE, ascii_lower, hash128, hidden, materialize, salted, shown, with_salt
 
 
 def line_key(line: Column) -> Column:
@@ -30,7 +30,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rid = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col), F.lit(""))
     row_key = hash128("__d", F.struct(rid, text))
-    docs = df.drop(*counts)
+    named = df.drop(*counts)
+    docs = named.select(*hidden(named, id_col, text_col))
     exploded = docs.select(rid.alias("__id"), *row_key, F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line"))
     lines = (
         exploded.withColumn("__line", line_key("__line"))
@@ -56,7 +57,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drops"), lambda i: F.get(parts, i))
     rebuilt = F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(left, "\n"))
     return kept.select(
-        *[rebuilt.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[rebuilt.alias(text_col) if c == text_col else column for c, column in zip(named.columns, shown(named, id_col, text_col))],
         F.size(parts).cast("long").alias(counts[0]),
         F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias(counts[1]),
     )

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bucket_rank, discard, few_files, materialize, ordered_rank, salted, with_salt
+from assayer.llm.common import bucket_rank, discard, few_files, hidden, materialize, ordered_rank, salted, shown, with_salt
 
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,8 +120,9 @@ def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col:
         words have one copy. Null sources are one source. An empty table gives no rows. ``df`` is read
         several times and must give the same rows.
     """
-    names = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
-    rows = df.withColumn("__size", size).select(*[f"`{c}`" for c in names], F.col(source_col).alias("__source"), F.col("__size"), F.xxhash64(F.lit(3), F.col(id_col)).alias("__u"))
+    used = (id_col, source_col, *([row_col] if row_col else []))
+    named = df.drop("size", "source_size", "target", "copies")
+    rows = df.select(*hidden(named, *used), F.col(source_col).alias("__source"), size.alias("__size"), F.xxhash64(F.lit(3), F.col(id_col)).alias("__u"))
     counts = materialize(rows.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "sizes")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, float(cap))
@@ -143,7 +144,7 @@ def mix_sources(df: DataFrame, size: Column, id_col: str = "doc_id", source_col:
     on = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__salt") == F.col("__salt2"))
     copies = F.col("__base") + (F.col("__rank") < F.col("__odd")).cast("long")
     # Sizes times sources grow with the corpus: a merge join, rather than a broadcast that a compressed file's size lets pass.
-    return spread.join(table.hint("merge"), on).select(*[f"`{c}`" for c in names], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
+    return spread.join(table.hint("merge"), on).select(*shown(named, *used), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -154,14 +155,15 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and rows without words stay once. An empty table gives no rows. Copies are decided on ids, sources and
     sizes alone; whole rows are written once with a row number, and shuffled once to meet their copies.
     """
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows", spread=True)
+    used = (id_col, text_col, source_col)
+    rows = materialize(df.select(*hidden(df, *used), F.monotonically_increasing_id().alias("__row")), "rows", spread=True)
     text_hash = F.coalesce(F.xxhash64(F.lit(5), F.col(text_col)), F.lit(0))
     narrow = rows.select(F.col(id_col).alias("__id"), "__row", F.struct(text_hash.alias("text"), "__row").alias("__tie"), F.col(source_col).alias("__from"), word_count(F.col(text_col)).alias("__words"))
     narrow = materialize(narrow, "words", spread=True)
     mixed = mix_sources(narrow, F.col("__words"), "__id", "__from", weights, cap, "__tie")
     copies = mixed.filter("copies > 0").select(F.col("__row").alias("__to"), F.col("copies").cast("int").alias("__n"))
     joined = rows.join(copies.hint("merge"), rows["__row"] == F.col("__to"))
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in df.columns])
+    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*shown(df, *used))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

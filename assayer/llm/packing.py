@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bucket_rank, few_files, map_arrow, materialize, slices
+from assayer.llm.common import bucket_rank, few_files, hidden, map_arrow, materialize, shown, slices
 
 #: The id that ends a document.
 END = 2
@@ -133,7 +133,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
     told apart by a row number; an empty table gives no rows. The driver sees one count a length and the plan
     made from them.
     """
-    pieces = pieces.drop("sequence_id", "offset", "__row")
+    named = pieces.drop("sequence_id", "offset")
+    used = ("length", *order)
+    pieces = named.select(*hidden(named, *used))
     kept = pieces.columns
     pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces", spread=True)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -146,7 +148,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
             yield {c: batch.column(c) for c in kept} | {"sequence_id": sequence, "offset": offset}
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c in kept)
-    return map_arrow(ranked.select(*[f"`{c}`" for c in kept], "__rank"), run, f"{ddl}, sequence_id long, offset long")
+    packed = map_arrow(ranked.select(*[f"`{c}`" for c in kept], "__rank"), run, f"{ddl}, sequence_id long, offset long")
+    return packed.select(*shown(named, *used), "sequence_id", "offset")
 
 
 @lru_cache(2)

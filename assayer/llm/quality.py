@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import map_arrow, slices
+from assayer.llm.common import map_arrow, quoted, slices
 
 #: An odd multiplier for polynomial hashes modulo 2**64, its inverse, and one to mix bits with.
 BASE = 0x100000001B3
@@ -186,7 +186,7 @@ def quality_scores(df: DataFrame, weights: np.ndarray, settings: Settings = Sett
                 yield {c: part.column(i) for i, c in enumerate(df_columns)} | {out: [score(t or "", weights, settings) for t in part.column(at).to_pylist()]}
 
     df_columns = df.columns
-    ddl = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    ddl = ", ".join(f"{quoted(c)} {t}" for c, t in df.dtypes)
     return map_arrow(df, run, f"{ddl}, `{out}` double")
 
 

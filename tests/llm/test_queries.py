@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,12 +131,16 @@ def test_stages_on_odd_documents(spark, count):
     texts = [None, "", "a", "same line of text here\nother", "x" * 20_000, "Same Line of text here", " \n\t", "word " * 3000]
     rows = [(None if i % 9 == 0 else i // 2, texts[i % len(texts)], None, None if i % 5 == 0 else f"s{i % 3}", None, i, "x") for i in range(count)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, score string")
+    for i, name in enumerate(["__score", "__key", "__row", "__n_lines", "__d1", "__size", "__n", "__u", "__rank", "component", "target", "a.b", "two words", "_0_"]):
+        docs = docs.withColumn(name, F.lit(i))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         path = f"{spark.conf.get('spark.checkpoint.dir')}/odd-{count}-{name.replace(' ', '-')}"
         out.write.mode("overwrite").parquet(path)
         if name != "packing":
             assert out.columns == docs.columns
+            kept = {tuple(r) for r in spark.read.schema(docs.schema).parquet(path).select(*[f"`{c}`" for c in docs.columns[7:]]).distinct().collect()}
+            assert kept == ({tuple(range(14))} if count else set())
             docs = spark.read.schema(docs.schema).parquet(path)
         else:
             packed = spark.read.schema(out.schema).parquet(path).collect()
