@@ -101,7 +101,8 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     # Whole entries hold both sides; there the smaller fingerprint is a. A wildcard's pairs of one bit meet whole, too.
     near = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, (apart == 2) if max_bits == 2 else (apart <= max_bits)).otherwise((apart <= max_bits) & (F.col("a") < F.col("b")))
-    return left.join(right, "key").filter(near).select("a", "b")
+    # Merged by hint: Spark's estimate leaves out that a fingerprint has so many entries, and would broadcast millions of them.
+    return left.join(right.hint("merge"), "key").filter(near).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
@@ -119,7 +120,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = materialize(named, "nodes")
     ids = named.groupBy("part").agg(F.min("first").alias("component_id"))
     classes = materialize(named.join(ids, "part").select("fp", "component_id"), "classes")
-    joined = with_salt(prints, F.col("doc_id")).join(salted(classes), ["fp", "__salt"])
+    joined = with_salt(prints, F.col("doc_id")).join(salted(classes).hint("merge"), ["fp", "__salt"])
     return joined.select("doc_id", "fp", "component_id")
 
 

@@ -583,6 +583,17 @@ def test_every_place_of_two_bits_is_linked_once(spark):
     assert {tuple(sorted(r)) for r in link_fingerprints(spark.createDataFrame([(p,) for p in alike], "fp long"), 2).collect()} == want
 
 
+def test_entries_are_not_broadcast(spark, odd):
+    """Neither the entries nor the salted classes, however small Spark takes them for: a broadcast is built on the driver."""
+    from assayer.llm.simhash import link_fingerprints, near_duplicates
+
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    for df in (link_fingerprints(prints, 2), link_fingerprints(prints, 3), near_duplicates(odd)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     from assayer.llm.components import connected_components
 
