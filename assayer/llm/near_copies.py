@@ -1,7 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, with MinHash bands to find candidates.
+"""Near copies by exact Jaccard similarity of word shingles, with SimHash and, beyond its distance, MinHash bands to find candidates.
 
-Texts of equal words are one node. A node has BANDS * ROWS least hashes; nodes that agree on all ROWS
-of a band share a bucket. First each bucket's members are compared with its smallest node. Then, in
+Texts of equal words are one node. SimHash is operator 7's, over the shingles used here: nodes whose fingerprints
+differ in at most BITS bits are found by its index, and each is compared with the smallest of them. Its index can't
+reach pairs of similarity 0.8 that are some 10 of 64 bits apart; for these a node has BANDS * ROWS least hashes, and
+nodes that agree on all ROWS of a band share a bucket. Each bucket's members are compared with its smallest node. Then, in
 rounds, tasks look in the buckets that hold several components for the nearest nodes of other components:
 first by sketches of four bits a hash, then by the hashes of the shingles, all of them or, of long texts, the LEAST
 smallest. What they find leaves the task as KEEP pairs a node at most and is compared on the shingles
@@ -23,10 +25,13 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import UPPER, discard, map_arrow, materialize, salted, slices, with_salt
 from assayer.llm.components import connected_components
+from assayer.llm.simhash import bits_set, link_fingerprints, majority
 
 WIDTH = 5
 #: A pair is linked if its Jaccard similarity is 4/5 at least.
 OVER, UNDER = 4, 5
+#: Bits in which the SimHash fingerprints of a candidate may differ.
+BITS = 2
 #: A pair at 0.8 shares no bucket with probability (1 - 0.8 ** 5) ** 32 = 3e-6, a closer one with less.
 BANDS, ROWS = 32, 5
 HASHES, LONGS = BANDS * ROWS, BANDS * ROWS // 16
@@ -59,11 +64,13 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
-def signature(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """A 128-bit digest of the words, a bucket (uint64) for each band, and the sketch as LONGS uint64."""
+def signature(text: bytes) -> tuple[bytes, int, np.ndarray, np.ndarray]:
+    """A 128-bit digest of the words, the SimHash fingerprint, a bucket (uint64) for each band, and the sketch as LONGS uint64."""
     words = text.translate(_LOWER).split()
     digest = xxhash.xxh3_128_digest(b" ".join(words))
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text)] or [0], dtype=np.uint64))
+    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text)] or [0], dtype=np.uint64)
+    fp = majority(sum(bits_set(hashes[at : at + 65536]) for at in range(0, len(hashes), 65536)), len(hashes))
+    hashes = np.unique(hashes)
     least = np.full(HASHES, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 512):
         part = hashes[at : at + 512][None, :] * _FACTORS[:, None]
@@ -75,11 +82,11 @@ def signature(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         bands = (bands ^ row) * _MIX
         bands ^= bands >> np.uint64(32)
     digits = (mixed >> np.uint64(60)).reshape(LONGS, 16) << np.arange(0, 64, 4, dtype=np.uint64)
-    return digest, bands, np.bitwise_or.reduce(digits, axis=1)
+    return digest, fp, bands, np.bitwise_or.reduce(digits, axis=1)
 
 
 def _signatures(df: DataFrame) -> DataFrame:
-    """key, doc_id, the digest as h1 and h2, buckets and sketch of every row; null text is empty."""
+    """key, doc_id, the digest as h1 and h2, fingerprint, buckets and sketch of every row; null text is empty."""
 
     def longs(rows: list[np.ndarray]) -> pa.Array:
         flat = np.concatenate(rows).view("<i8")
@@ -89,11 +96,26 @@ def _signatures(df: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2):
                 texts = part.column(2).cast(pa.binary())
-                digests, bands, sketches = zip(*[signature(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in texts])
+                digests, prints, bands, sketches = zip(*[signature(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in texts])
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield {"key": part.column(0), "doc_id": part.column(1), "h1": pa.array(halves[:, 0].copy()), "h2": pa.array(halves[:, 1].copy()), "buckets": longs(bands), "sketch": longs(sketches)}
+                yield {"key": part.column(0), "doc_id": part.column(1), "h1": pa.array(halves[:, 0].copy()), "h2": pa.array(halves[:, 1].copy()), "fp": pa.array(np.array(prints, "<u8").view("<i8")), "buckets": longs(bands), "sketch": longs(sketches)}
 
-    return map_arrow(df, run, "key long, doc_id long, h1 long, h2 long, buckets array<long>, sketch array<long>")
+    return map_arrow(df, run, "key long, doc_id long, h1 long, h2 long, fp long, buckets array<long>, sketch array<long>")
+
+
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node and fp): each with the smallest of its fingerprint, and that one with the smallest
+    whose fingerprint differs in 1 to BITS bits. So a node brings two pairs at most, whatever its group's size."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    equal = with_salt(nodes.select("node", "fp"), F.col("node")).join(salted(prints).hint("merge"), ["fp", "__salt"]).filter("node <> least")
+    edges = materialize(link_fingerprints(prints.select("fp"), BITS), "print-links")
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    nearest = both.join(prints.select(F.col("fp").alias("v"), F.col("least").alias("there")), "v").groupBy("u").agg(F.min("there").alias("there"))
+    near = nearest.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("here")), "u")
+    pairs = equal.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(near.select(F.least("here", "there").alias("a"), F.greatest("here", "there").alias("b")))
+    pairs = materialize(pairs.distinct(), "simhash-pairs")
+    discard(prints, edges)
+    return pairs
 
 
 def _digits_apart(a: str, b: str) -> Column:
@@ -275,7 +297,7 @@ def near_copies(df: DataFrame) -> DataFrame:
     words are alike, shorter texts than five words are one shingle; no rows give none.
     """
     rows = materialize(_signatures(df.select("key", "doc_id", "text")), "signatures", spread=True)
-    nodes = materialize(rows.groupBy("h1", "h2").agg(F.min("key").alias("node")), "nodes")
+    nodes = materialize(rows.groupBy("h1", "h2").agg(F.min("key").alias("node"), F.min("fp").alias("fp")), "nodes")
     one = rows.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").withColumnRenamed("key", "node")
     one = materialize(one.select("node", "buckets", *[F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)]), "sketches")
 
@@ -289,7 +311,8 @@ def near_copies(df: DataFrame) -> DataFrame:
     close = _digits_apart("a", "b") <= MOST_DIGITS
     least = salted(_side(kept.filter("node = least"), "a"))
     others = with_salt(_side(kept.filter("node <> least"), "b"), F.col("b"))
-    first = _compared(others.join(least, ["band", "bucket", "__salt"]).filter(close), df)
+    alike = _by_simhash(nodes)
+    first = _compared(others.join(least, ["band", "bucket", "__salt"]).filter(close).select("a", "b").unionByName(alike), df)
 
     members = kept.drop("least")
     parts = connected_components(first)
@@ -314,5 +337,5 @@ def near_copies(df: DataFrame) -> DataFrame:
     named = materialize(nodes.join(parts, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "classes")
     grouped = with_salt(rows.select("key", "doc_id", "h1", "h2"), F.col("key")).join(salted(named), ["h1", "h2", "__salt"]).select("key", "doc_id", "component")
     grouped = materialize(grouped, "groups")
-    discard(rows, nodes, found, hashes, named, kept, *links)
+    discard(rows, nodes, alike, found, hashes, named, kept, *links)
     return grouped

@@ -20,6 +20,16 @@ from assayer.llm.components import connected_components
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (uint64) have each of the 64 bits set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` hashes have set."""
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """The 64-bit SimHash of a text's ``width``-word shingles (all of them, repeats included).
 
@@ -39,9 +49,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist())][: n - at], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        ones += bits_set(np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist())][: n - at], dtype="<u8"))
+    return majority(ones, n)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

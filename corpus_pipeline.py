@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next stage's docs. All but the last return the columns of documents, and every stage keeps
 further columns that the documents have. No documents give no rows.
 
-SimHash (operator 7) can't serve the third stage: texts of similarity 0.8 differ in some 10 of 64 bits, and
-segments short enough for one wildcard would then be shared by unlike texts. The stage finds them with
-MinHash bands instead; the README has the figures.
+The third stage takes operator 7's SimHash over five words, with an exact check. Its distance can't reach all of the stage's
+pairs: texts of similarity 0.8 differ in some 10 of 64 bits, and segments short enough for one wildcard would then be
+shared by unlike texts. What lies beyond is found with MinHash bands; the README has the figures.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): that of smallest doc_id, null ids last, and the first of its rows."""
+    """One document of each group of near copies (SimHash and MinHash of five words, similarity 0.8): that of smallest doc_id, null ids last, and the first of its rows."""
     used = ("doc_id", "text")
     keyed = materialize(docs.select(*hidden(docs, *used), F.monotonically_increasing_id().alias("__key")), "keyed", spread=True)
     rows = keyed.select(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -87,3 +87,53 @@ def test_stage_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     part = brute_components({r["doc_id"]: r["text"] for r in docs.collect()})
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(part.values())
+
+
+def long_near_copies(count):
+    """Pairs of long texts that differ in a word or more, of SimHash fingerprints 1 or 2 bits apart."""
+    from assayer.llm.simhash import fingerprint
+
+    rng, found = random.Random(3), []
+    while len(found) < count:
+        words = [f"w{rng.randrange(10_000)}" for _ in range(800)]
+        other = [*words[:-1], "changed"]
+        a, b = " ".join(words), " ".join(other)
+        if 1 <= (fingerprint(a.encode(), 5) ^ fingerprint(b.encode(), 5)).bit_count() <= 2:
+            found.append((a, b))
+    return found
+
+
+def test_simhash_finds_near_copies(spark, monkeypatch):
+    """The stage links by operator 7's fingerprints where no bucket is shared, and checks unlike texts of one fingerprint."""
+    from pyspark.sql import functions as F
+
+    from assayer.llm import near_copies
+
+    signatures = near_copies._signatures
+    monkeypatch.setattr(near_copies, "_signatures", lambda df: signatures(df).withColumn("buckets", F.array(*[F.xxhash64("h1", "h2", F.lit(i)) for i in range(near_copies.BANDS)])))
+    one = "p p p p p"  # its shingle is most of the next text's, which has the same fingerprint
+    texts = [one, " ".join([one] * 20 + [f"q{i}" for i in range(50)])] + [t for pair in long_near_copies(6) for t in pair]
+    assert [r[0] for r in survivors(spark, list(enumerate(texts)))] == [0, 1, 2, 4, 6, 8, 10, 12]
+
+
+def test_simhash_pairs(spark):
+    """The fingerprints are operator 7's; each node meets the smallest of its fingerprint, that one the smallest near it."""
+    from assayer.llm import near_copies
+    from assayer.llm.simhash import fingerprint
+
+    for text in ("", "one two", "a b c d e f", "a b c d e " * 20, "x " * 70_000 + "y z"):
+        assert near_copies.signature(text.encode())[1] == fingerprint(text.encode(), 5)
+    rng = random.Random(4)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += prints[:10] + [p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for p in prints * 3]
+    order = rng.sample(range(1000), len(prints))
+    nodes = dict(zip(order, prints))
+    least = {}
+    for n, p in sorted(nodes.items()):
+        least.setdefault(p, n)
+    want = {(least[p], n) for n, p in nodes.items() if n != least[p]}
+    for p in least:
+        near = [least[q] for q in least if 1 <= (p ^ q).bit_count() <= 2]
+        want |= {tuple(sorted((least[p], min(near))))} if near else set()
+    df = spark.createDataFrame([(n, p - 2**64 if p >> 63 else p) for n, p in nodes.items()], "node long, fp long")
+    assert {tuple(r) for r in near_copies._by_simhash(df).collect()} == want and len(want) > 50
