@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -102,6 +103,15 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage, Python's first: its heap shrinks to what it holds, and Spark's cleaner drops shuffles and broadcasts that no plan uses any more.
+
+    For loops of many small jobs, which would let the heap grow to its limit without ever needing it.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """:func:`materialize` what ``make`` returns, and delete every intermediate table that it wrote on the way."""
     before = set(_WRITTEN)

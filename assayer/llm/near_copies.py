@@ -14,7 +14,6 @@ large group of near copies costs some pairs a member, and all other pairs are to
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import UPPER, discard, map_arrow, materialize, salted, slices, with_salt
+from assayer.llm.common import UPPER, collect_garbage, discard, map_arrow, materialize, salted, slices, with_salt
 from assayer.llm.components import connected_components
 from assayer.llm.simhash import bits_set, link_fingerprints, majority
 
@@ -319,23 +318,27 @@ def near_copies(df: DataFrame) -> DataFrame:
     open_ = _open(members, parts)
     wanted = _in_open(members.select("band", "bucket", "node"), open_).select("node").distinct()
     hashes = materialize(_hashes(df.select(F.col("key").alias("node"), "text").join(wanted, "node", "left_semi").select("node", "text")), "hashes", spread=True)
-    links, cursor, keep = [first], None, KEEP
+    cursor, keep = None, KEEP
     while True:
+        collect_garbage(df.sparkSession)
         found = _nearest(members, parts, open_, hashes, cursor, keep)
         discard(open_)
         if found.isEmpty():
             break
         pairs = found.select("u", F.explode("best").alias("b")).select(F.least("u", "b.v").alias("a"), F.greatest("u", "b.v").alias("b"))
-        links.append(_compared(pairs, df))
+        links = _compared(pairs, df)
         last = F.element_at("best", -1)
         ended = F.size("best") < keep
         step = found.select("u", F.when(ended, HASHES + 1).otherwise(last["d"]).cast("int").alias("seen_d"), F.when(ended, F.lit(0)).otherwise(last["v"]).alias("seen_v"))
         cursor = materialize(step if cursor is None else step.unionByName(cursor.join(step, "u", "left_anti")), "cursor")
         keep *= MORE
-        parts = connected_components(reduce(DataFrame.unionByName, links))
+        if not links.isEmpty():
+            # The components so far stand for all links before, a link a node; so few rounds join them.
+            parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        discard(links)
         open_ = _open(members, parts)
     named = materialize(nodes.join(parts, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "classes")
     grouped = with_salt(rows.select("key", "doc_id", "h1", "h2"), F.col("key")).join(salted(named), ["h1", "h2", "__salt"]).select("key", "doc_id", "component")
     grouped = materialize(grouped, "groups")
-    discard(rows, nodes, alike, found, hashes, named, kept, *links)
+    discard(rows, nodes, alike, found, hashes, named, kept, first)
     return grouped

@@ -118,9 +118,26 @@ def document(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     return found, (n / n.sum()).astype(np.float32)
 
 
+def documents(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """:func:`document` of each text, as views of two long arrays.
+
+    An array for each text would be thousands of small pieces of the heap, which the process keeps for good
+    once they are freed; long arrays are mapped apart and go back to the system.
+    """
+    buckets, shares, ends = np.empty(1 << 22, np.uint32), np.empty(1 << 22, np.float32), [0]
+    for text in texts:
+        found, share = document(text, settings)
+        at, end = ends[-1], ends[-1] + len(found)
+        while end > len(buckets):
+            buckets, shares = (np.concatenate((x, np.empty_like(x))) for x in (buckets, shares))
+        buckets[at:end], shares[at:end] = found, share
+        ends.append(end)
+    return [(buckets[a:b], shares[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def train(texts: list[str], labels: list[int], settings: Settings = Settings()) -> np.ndarray:
     """One number a bucket: the class-1 output less the class-0 output of its vector. No texts give zeros."""
-    docs = [document(t, settings) for t in texts]
+    docs = documents(texts, settings)
     rng = np.random.default_rng(settings.seed)
     vectors = rng.uniform(-1 / settings.dim, 1 / settings.dim, (settings.buckets, settings.dim)).astype(np.float32)
     out = np.zeros((settings.dim, 2), np.float32)

@@ -80,6 +80,40 @@ def test_groups_equal_brute_force(spark, monkeypatch, least, tile, keep):
     assert near_copies.near_copies(df.limit(0)).count() == 0
 
 
+def test_rounds_start_from_the_components(spark, monkeypatch):
+    """Rounds that find links join them to a link a node, not to all links of all rounds before; rounds without links join nothing."""
+    from assayer.llm import near_copies
+
+    for name, value in (("LEAST", 16), ("TILE", 5), ("KEEP", 1), ("SHELF", 64)):
+        monkeypatch.setattr(near_copies, name, value)
+    compared, components, links, joined = near_copies._compared, near_copies.connected_components, [], []
+
+    def counted_links(*args):
+        out = compared(*args)
+        links.append(out.count())
+        return out
+
+    def counted_edges(edges):
+        joined.append(edges.filter("a <> b").distinct().count())
+        return components(edges)
+
+    monkeypatch.setattr(near_copies, "_compared", counted_links)
+    monkeypatch.setattr(near_copies, "connected_components", counted_edges)
+    rng = random.Random(16)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(80)]
+    texts = {}
+    for key in range(60):
+        words = list(base)
+        for at in rng.sample(range(80), rng.randrange(4)):
+            words[at] = f"w{rng.randrange(100_000)}"
+        texts[key] = " ".join(words)
+    df = spark.createDataFrame([(i, 7, t) for i, t in texts.items()], "key long, doc_id long, text string")
+    assert {r["key"]: r["component"] for r in near_copies.near_copies(df).collect()} == brute_components(texts)
+    found = [n for n in links[1:] if n]
+    assert 0 in links[1:] and len(joined) == 1 + len(found), (links, joined)
+    assert all(edges < len(texts) + new for edges, new in zip(joined[1:], found)), (links, joined)
+
+
 def test_stage_against_brute_force(spark):
     """The stage on whole documents: one row of each group, that of smallest id."""
     import corpus_pipeline

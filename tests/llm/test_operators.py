@@ -883,6 +883,29 @@ def test_features_equal_a_slow_computation_over_stretches(monkeypatch):
             assert sorted(quality.feature_buckets(t, s)) == slow_buckets(t, s), (t, stretch)
 
 
+def test_training_gives_its_memory_back():
+    """The driver keeps little of what the sample took; an array a text would stay for good."""
+    import subprocess
+    import sys
+
+    code = """
+import random, re
+from assayer.llm import quality
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = random.Random(1)
+words = [f"{rng.randrange(10**6)}" for _ in range(20000)]
+texts = [" ".join(rng.choices(words, k=300)) for _ in range(3000)]
+before = held()
+quality.train(texts, [i % 2 for i in range(3000)], quality.Settings(steps=0))
+print(held() - before)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=300).stdout)
+    assert grown < 30, grown
+
+
 def test_long_texts_are_scored_in_little_memory():
     import tracemalloc
 
