@@ -3,7 +3,7 @@
 :func:`read_pcap` reads a file, a folder or a glob in two passes. The first walks over the record headers
 of each file and cuts it into ranges that start at a record; the second parses the ranges, only what the
 wanted columns need. So one large capture is read by many tasks, and packets are numbered over all files,
-in the order of the files' names. The data source ``pcap`` (batch and stream) reads a file a task.
+in the order of the files' names. Small files and ranges share tasks, by their bytes. The data source ``pcap`` (batch and stream) reads a file a task.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import ipaddress
 import json
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ SCHEMA = "file string, packet_index long, ts double, wire_len int, ip_version in
 COLUMNS = tuple(c.split()[0] for c in SCHEMA.split(", "))
 #: Bytes of a range, of one read, and packets of one batch.
 RANGE, STRETCH, BATCH = 64 << 20, 4 << 20, 1 << 16
+#: Bytes of files or ranges that share a task, and what opening a file counts for besides.
+TASK, OPENING = 16 << 20, 64 << 10
 
 # Capture file magics, link types and EtherTypes.
 PCAP_MAGICS = {0xA1B2C3D4: 1e6, 0xA1B23C4D: 1e9}
@@ -193,26 +196,31 @@ def ranges(path: str, size: int = RANGE) -> Iterator[tuple[str, int, int, int, i
             yield path, start, b.size, first, n, known
 
 
-def _batches(path: str, start: int, stop: int, first: int, state: str, columns: tuple[str, ...]) -> Iterator[dict[str, list]]:
-    """The wanted columns of a range's packets, in batches; data is looked at only for addresses."""
+def _batches(parts: Iterable[tuple[str, int, int, int, str]], columns: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """The wanted columns of the packets of ranges (file, start, stop, first packet's number, state), in batches.
+
+    A batch may hold several ranges; neighbours in a file share its reads. Data is looked at only for addresses.
+    """
     look = bool({"ip_version", "src", "dst"} & set(columns))
-    with _Bytes(path) as b:
-        found = _records(b, json.loads(state), start, stop)
-        while True:
-            out: dict[str, list] = {c: [] for c in ("ts", "wire_len", "ip_version", "src", "dst")}
-            for _, ts, wire, link, place, kept in found:
-                out["ts"].append(ts)
-                out["wire_len"].append(wire)
-                if look:
-                    for c, v in zip(("ip_version", "src", "dst"), addresses(link, b.take(place, min(kept, 512)) if kept else b"")):
-                        out[c].append(v)
-                if len(out["ts"]) >= BATCH:
-                    break
-            n = len(out["ts"])
-            if not n:
-                return
-            yield {"file": [path] * n if "file" in columns else [], "packet_index": list(range(first, first + n)), **out}
-            first += n
+    names = [c for c in COLUMNS if c in columns]
+    out: dict[str, list] = {c: [] for c in COLUMNS}
+    for path, of_file in groupby(parts, key=lambda part: part[0]):
+        with _Bytes(path) as b:
+            for _, start, stop, index, state in of_file:
+                for _, ts, wire, link, place, kept in _records(b, json.loads(state), start, stop):
+                    out["file"].append(path)
+                    out["packet_index"].append(index)
+                    out["ts"].append(ts)
+                    out["wire_len"].append(wire)
+                    if look:
+                        for c, v in zip(("ip_version", "src", "dst"), addresses(link, b.take(place, min(kept, 512)) if kept else b"")):
+                            out[c].append(v)
+                    index += 1
+                    if len(out["ts"]) >= BATCH:
+                        yield {c: out[c] for c in names}
+                        out = {c: [] for c in COLUMNS}
+    if out["ts"]:
+        yield {c: out[c] for c in names}
 
 
 def read_packets(path: str) -> Iterator[tuple]:
@@ -220,7 +228,7 @@ def read_packets(path: str) -> Iterator[tuple]:
     with _Bytes(path) as b:
         state, start = _head(b)
         size = b.size
-    for batch in _batches(path, start, size, 0, json.dumps(state), COLUMNS):
+    for batch in _batches([(path, start, size, 0, json.dumps(state))], COLUMNS):
         yield from zip(*[batch[c] for c in COLUMNS[1:]])
 
 
@@ -251,6 +259,19 @@ def capture_files(path: str) -> list[str]:
     return found
 
 
+def _sizes(path: str, files: list[str]) -> list[int]:
+    """The bytes of the files that :func:`capture_files` found at ``path``."""
+    if not (remote := _remote(path)):
+        return [os.path.getsize(f) for f in files]
+    from pyarrow import fs
+
+    info = remote[0].get_file_info(remote[1])
+    if info.type != fs.FileType.Directory:
+        return [info.size]
+    sizes = {i.base_name: i.size for i in remote[0].get_file_info(fs.FileSelector(remote[1]))}
+    return [sizes[f.rsplit("/", 1)[-1]] for f in files]
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -335,7 +356,8 @@ def read_pcap(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS
                 rows = list(zip(*ranges(name, range_bytes)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["file", "start", "stop", "first", "packets", "state"])
 
-    found = _one_a_task(spark, [(f,) for f in files], "file string").mapInArrow(walk, "file string, start long, stop long, first long, packets long, state string").collect()
+    listed = _dealt(spark, [(f,) for f in files], _sizes(path, files), "file string")
+    found = listed.mapInArrow(walk, "file string, start long, stop long, first long, packets long, state string").collect()
     rows, base = [], 0
     for r in sorted(found):
         rows.append((r["file"], r["start"], r["stop"], base, r["state"]))
@@ -343,15 +365,22 @@ def read_pcap(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS
     target = to_arrow_schema(wanted)
 
     def parse(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                for part in _batches(*row.values(), tuple(columns)):
-                    yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) for f in target], schema=target)
+        for part in _batches((tuple(row.values()) for batch in batches for row in batch.to_pylist()), tuple(columns)):
+            yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) for f in target], schema=target)
+
+    return _dealt(spark, rows, [r[2] - r[1] for r in rows], "file string, start long, stop long, first long, state string").mapInArrow(parse, wanted)
+
 
-    return _one_a_task(spark, rows, "file string, start long, stop long, first long, state string").mapInArrow(parse, wanted)
+def _tasks(files: list[str], sizes: list[int], slots: int) -> list[int]:
+    """The task of each part of a file: parts that start in the same ``TASK`` bytes share one, or in fewer if else some slots had none."""
+    costs = [n + (OPENING if not i or f != files[i - 1] else 0) for i, (f, n) in enumerate(zip(files, sizes))]
+    most = min(TASK, max(OPENING, -(-sum(costs) // slots)))
+    numbers: dict[int, int] = {}
+    return [numbers.setdefault((end - cost) // most, len(numbers)) for end, cost in zip(accumulate(costs), costs)]
 
 
-def _one_a_task(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """The rows, each in a partition of its own."""
-    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"at int, {schema}")
-    return numbered.repartitionById(len(rows), F.col("at")).drop("at")
+def _dealt(spark: SparkSession, rows: list[tuple], sizes: list[int], schema: str) -> DataFrame:
+    """The rows, which begin with a file, in tasks by their bytes, in their order."""
+    tasks = _tasks([r[0] for r in rows], sizes, spark.sparkContext.defaultParallelism)
+    numbered = spark.createDataFrame([(t, i, *r) for i, (t, r) in enumerate(zip(tasks, rows))], f"task int, at long, {schema}")
+    return numbered.repartitionById(tasks[-1] + 1, F.col("task")).sortWithinPartitions("at").drop("task", "at")

@@ -1,8 +1,9 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
-from assayer.sources.pcap import addresses, read_packets, read_pcap
+from assayer.sources.pcap import COLUMNS, OPENING, TASK, _batches, _sizes, _tasks, addresses, capture_files, ranges, read_packets, read_pcap
 from assayer.sources.tabular import distinct_names, read_tabular
 
 
@@ -200,6 +201,47 @@ def test_ranges_give_what_whole_files_give(spark, tmp_path, size):
     assert [r["ts"] for r in read_pcap(spark, f"file://{folder}", ("packet_index", "ts"), size).orderBy("packet_index").collect()] == [float(t) for t in (*range(50), *range(100, 130), *range(200, 240))]
 
 
+def test_small_files_and_ranges_share_tasks(spark, tmp_path):
+    """300 small captures in 3,000 ranges: a few tasks, numbered and in the order of the files."""
+    for k in range(300):
+        (tmp_path / f"{k:03d}.pcap").write_bytes(capture(packets=[(10 * k + j, 0, ether(0x0800, V4)) for j in range(10)]))
+    df = read_pcap(spark, str(tmp_path), ("file", "packet_index", "ts"), 1)
+    tasks = df.withColumn("task", F.spark_partition_id())
+    assert df.rdd.getNumPartitions() <= 8 and tasks.select("task").distinct().count() >= 4
+    assert [tuple(r) for r in df.collect()] == [(f"{tmp_path}/{k // 10:03d}.pcap", k, float(k)) for k in range(3000)]
+
+
+def test_tasks_by_bytes():
+    assert _tasks(list("abcd"), [TASK, 5 * TASK, 0, 1], 2) == [0, 1, 2, 2]
+    assert _tasks(["a"] * 5, [TASK // 2] * 5, 1) == [0, 0, 1, 1, 2]
+    assert _tasks(["a"] * 8, [8 * OPENING] * 8, 4) == [0, 0, 1, 1, 2, 2, 3, 3] and _tasks(["a"], [0], 12) == [0]
+    assert len(set(_tasks([str(k) for k in range(10_000)], [0] * 10_000, 1))) == -(-10_000 * OPENING // TASK)
+
+
+def test_batches_cross_ranges_and_files(tmp_path, monkeypatch):
+    mixed_captures(tmp_path / "in")
+    want, parts = [], []
+    for name in ("a.pcap", "b.pcap", "c.pcap", "d.pcapng"):
+        path = str(tmp_path / "in" / name)
+        parts += [(path, start, stop, len(want) + first, state) for _, start, stop, first, _, state in ranges(path, 100)]
+        want += [(path, len(want) + k, *p[1:]) for k, p in enumerate(read_packets(path))]
+    monkeypatch.setattr("assayer.sources.pcap.BATCH", 7)
+    found = list(_batches(parts, COLUMNS))
+    assert [r for b in found for r in zip(*[b[c] for c in COLUMNS])] == want
+    assert [len(b["ts"]) for b in found] == [7] * 17 + [1] and set(next(_batches(parts, ("ts",)))) == {"ts"}
+
+
+def test_sizes_of_files_in_stores(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    for k in range(3):
+        (tmp_path / f"{k}.pcap").write_bytes(bytes(k))
+    local = _sizes(str(tmp_path), capture_files(str(tmp_path)))
+    monkeypatch.setattr("assayer.sources.pcap._remote", lambda path: (fs.LocalFileSystem(), path.removeprefix("store://")))
+    folder = f"store://{tmp_path}"
+    assert local == _sizes(folder, capture_files(folder)) == [0, 1, 2] and _sizes(f"{folder}/2.pcap", capture_files(f"{folder}/2.pcap")) == [2]
+
+
 def test_damaged_captures_raise_before_reading(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(capture(packets=[(1, 0, b"x" * 40)])[:-1])
     with pytest.raises(Exception, match="cut short"):
